@@ -12,6 +12,7 @@ from velario.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(cores=8, name="velario-tests")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()

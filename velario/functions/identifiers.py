@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -94,21 +95,36 @@ def _same_places(member):
     return [(np.flatnonzero(which == s), np.flatnonzero(shape)) for s, shape in enumerate(shapes)]
 
 
+_TABLES = {}
+
+
 def permutation_table(ctx: Context, domain: int, tweak: bytes) -> DataFrame:
     """``(x, y)``: the permutation of the integers below ``domain``, made in parallel.
 
-    It follows from key and tweak alone and is never written. Its size is the
-    domain's, which is why joining it by broadcast is safe at any data size.
+    It follows from key and tweak alone. Its size is the domain's, which is why
+    joining it by broadcast is safe at any data size. One table serves all columns,
+    passes and ranges of a session: it stays in memory only, never on disk.
     """
     key, forward = ctx.key.bytes, ctx.forward
+    slot = (ctx.spark.sparkContext.applicationId, key, domain, tweak, forward)
+    if slot in _TABLES:
+        return _TABLES[slot]
 
     @F.pandas_udf(LongType())
     def walk(x: pd.Series) -> pd.Series:
         return pd.Series(walk_integers(engine(key), x.to_numpy(np.int64), domain, tweak, forward))
 
     slices = min(ctx.spark.sparkContext.defaultParallelism, -(-domain // 2000))
-    return ctx.spark.range(0, domain, 1, slices).select(
+    table = ctx.spark.range(0, domain, 1, slices).select(
         F.col("id").alias("x"), walk(F.col("id")).alias("y"))
+    _TABLES[slot] = table.persist(StorageLevel.MEMORY_ONLY)
+    return _TABLES[slot]
+
+
+def forget_tables() -> None:
+    """Drop the permutation tables from memory, when a key is no longer needed."""
+    while _TABLES:
+        _TABLES.popitem()[1].unpersist()
 
 
 def _permuted(df, ctx, index: Column, domain, tweak, name):
