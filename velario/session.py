@@ -5,7 +5,10 @@ import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cores="*", name="velario", partitions=8, memory="16g") -> SparkSession:
@@ -22,6 +25,15 @@ def local_session(cores="*", name="velario", partitions=8, memory="16g") -> Spar
     )
 
 
+def small_frame(spark: SparkSession, rows, schema):
+    """Driver-made metadata rows as a local relation: no job runs to scan them."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(fields, timezone="UTC")
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return spark.createDataFrame(
+        pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow), fields)
+
+
 _SHIPPED = set()
 
 
