@@ -163,7 +163,7 @@ def repeated_in_bucket(strings, counts, window, part=0, parts=1):
             for _, string, at in found[i:j]:
                 out[string].append(at)
         i = j
-    return out
+    return [sorted(at) for at in out]
 
 
 def ranges(starts, window) -> list:
@@ -284,3 +284,22 @@ def _cut(wide, carried, with_text):
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields if f.name in carried]
     types = {"kept_sha256": "string", "kept_text": "binary"}
     return wide.mapInArrow(run, ", ".join(fields + [f"{n} {types.get(n, 'bigint')}" for n in names]))
+
+
+def without_repeats(docs: DataFrame, window=WINDOW, seed=SEED_WORDS, bucket_strings=BUCKET_STRINGS) -> DataFrame:
+    """``docs`` with the texts that are left; ``n_chars``, where there is one, follows.
+    Texts without a repeated window stay as they are, null ones too."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = plain.withColumns({"doc_id": F.col(f"c{names.index('doc_id')}").cast("bigint"),
+                             "text": F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit(""))})
+    spans = repeated_spans(docs, window, seed, bucket_strings)
+    wide = row_key(own).join(spans, ["key_id", "key_hash"], "left")
+    cut = _cut(wide.select(*plain.columns, "text", "spans"), plain.columns, True)
+    kept = F.when(F.col("n_removed") > 0, F.col("kept_text").cast("string")).otherwise(F.col(f"c{names.index('text')}"))
+    new = {"text": kept}
+    if "n_chars" in names:
+        place = names.index("n_chars")
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length(F.col("kept_text").cast("string"))).otherwise(
+            F.col(f"c{place}")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(n, F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
