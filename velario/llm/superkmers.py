@@ -48,11 +48,18 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
-def minimisers(words, window=WINDOW, seed=SEED_WORDS) -> np.ndarray:
-    """The minimiser of each window of a list of words."""
+def _sliding(values, span, choose):
+    """``choose`` (minimum or maximum) over each ``span`` neighbours, by doubling."""
+    width = 1
+    while 2 * width <= span:
+        values = choose(values[:-width], values[width:])
+        width *= 2
+    rest = span - width
+    return choose(values[:len(values) - rest], values[rest:]) if rest else values
+
+
+def _run_hashes(words, seed):
     n = len(words)
-    if n < window:
-        return np.empty(0, np.uint64)
     one = np.fromiter(map(_HASH.__getitem__, words), np.uint64, n)
     runs = one[:n - seed + 1].copy()
     for i in range(1, seed):
@@ -61,12 +68,29 @@ def minimisers(words, window=WINDOW, seed=SEED_WORDS) -> np.ndarray:
         runs += one[i:n - seed + 1 + i]
     runs *= _ODD
     runs ^= runs >> np.uint64(32)
-    span, width = window - seed + 1, 1           # runs in a window
-    while 2 * width <= span:
-        runs = np.minimum(runs[:-width], runs[width:])
-        width *= 2
-    rest = span - width
-    return np.minimum(runs[:len(runs) - rest], runs[rest:]) if rest else runs
+    return runs
+
+
+def minimisers(words, window=WINDOW, seed=SEED_WORDS) -> np.ndarray:
+    """The minimiser of each window of a list of words."""
+    if len(words) < window:
+        return np.empty(0, np.uint64)
+    return _sliding(_run_hashes(words, seed), window - seed + 1, np.minimum)
+
+
+def minimiser_places(words, window=WINDOW, seed=SEED_WORDS) -> np.ndarray:
+    """Each minimiser of a text, twice if it stands at two places or more: a text
+    that repeats itself may do so inside one super-k-mer."""
+    if len(words) < window:
+        return np.empty(0, np.int64)
+    span = window - seed + 1
+    runs = _run_hashes(words, seed)
+    low = _sliding(runs, span, np.minimum)
+    edge = np.zeros(span - 1, np.uint64)
+    # a run is a minimiser where the largest minimum of the windows around it is its own
+    value, n = np.unique(runs[_sliding(np.concatenate((edge, low, edge)), span, np.maximum) == runs],
+                         return_counts=True)
+    return np.repeat(value, np.minimum(n, 2)).view(np.int64)
 
 
 def super_kmers(words, window=WINDOW, seed=SEED_WORDS):
@@ -86,7 +110,7 @@ def _met_twice(source, window, seed) -> DataFrame:
     """``(key_id, key_hash, met)``: minimisers of a document that occur twice or more."""
     def run(batches):
         for batch in batches:
-            found = [super_kmers(t.split(), window, seed)[0] for t in column_bytes(batch, "text")]
+            found = [minimiser_places(t.split(), window, seed) for t in column_bytes(batch, "text")]
             sizes = np.array([len(f) for f in found])
             some = np.flatnonzero(sizes)
             if not len(some):
