@@ -204,9 +204,8 @@ def ranges(starts, window) -> list:
 def _count_buckets(occurrences, window, bucket_strings) -> DataFrame:
     """``(digest, at)``: the words of each different packed string that repeated windows cover."""
     strings = occurrences.groupBy("m", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("packed").alias("packed"))
-    sizes = occurrences.groupBy("m").agg(F.count_distinct("digest").alias("strings"), F.count(F.lit(1)).alias("rows"))
-    # a bucket with one string that occurs once holds nothing to count
-    shared = strings.join(sizes.where("rows > 1"), "m").withColumn(
+    sizes = occurrences.groupBy("m").agg(F.count_distinct("digest").alias("strings"))
+    shared = strings.join(sizes, "m").withColumn(
         "parts", F.ceil(F.col("strings") / bucket_strings).cast("int"))
     dealt = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
