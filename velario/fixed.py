@@ -37,7 +37,6 @@ FALLBACK_VERSION = 3
 # -- fixed values: column-type detection -------------------------------------
 DETECTION_SHARE = 0.9
 DETECTION_MIN_VALUES = 4
-DETECTION_SAMPLE = 200
 
 # -- fixed values: words of the policy and registry documents ----------------
 TYPES = ("CF", "COGNOME", "IBAN", "NOME", "PIVA")

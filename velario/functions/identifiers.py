@@ -53,7 +53,9 @@ def class_permutation(key: bytes, classes, forward: bool):
         out = np.empty(len(distinct) + 1, dtype=object)      # the last one stays None
         out[:-1] = permute_classes(engine(key), list(distinct), classes, forward)
         return pd.Series(out[codes])
-    return permute
+    # Marked so that no optimizer rule moves the call into a lambda of what uses its
+    # result (a checksum predicate, say), where it could not be evaluated.
+    return permute.asNondeterministic()
 
 
 def permute_classes(ff1, values, classes, forward):
@@ -115,6 +117,7 @@ def permutation_table(ctx: Context, domain: int, tweak: bytes) -> DataFrame:
         return pd.Series(walk_integers(engine(key), x.to_numpy(np.int64), domain, tweak, forward))
 
     slices = min(ctx.spark.sparkContext.defaultParallelism, -(-domain // 2000))
+    walk = walk.asNondeterministic()
     table = ctx.spark.range(0, domain, 1, slices).select(
         F.col("id").alias("x"), walk(F.col("id")).alias("y"))
     _TABLES[slot] = table.persist(StorageLevel.MEMORY_ONLY)

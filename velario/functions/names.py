@@ -207,4 +207,5 @@ def off_list_udf(key: bytes, entries: frozenset, tweak: bytes, forward: bool):
             return pd.Series([None] * len(values), dtype=object)
         found = walk_off_list(engine(key), list(distinct), entries, tweak, forward)
         return pd.Series(np.array(found + [None], dtype=object)[codes])
-    return off_list
+    # see identifiers.class_permutation
+    return off_list.asNondeterministic()

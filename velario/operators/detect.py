@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import CharType, StringType, VarcharType
 
-from velario.fixed import (DETECTION_MIN_VALUES, DETECTION_ORDER, DETECTION_SAMPLE, DETECTION_SHARE,
+from velario.fixed import (DETECTION_MIN_VALUES, DETECTION_ORDER, DETECTION_SHARE,
                            ENCRYPT, KEEP, LIST_TYPES)
 from velario.functions import checksums as C
 from velario.functions import names as N
@@ -81,10 +81,12 @@ def detect(df: DataFrame, lists, columns=None, sample=None) -> DataFrame:
     return decide(reduce(DataFrame.unionByName, parts))
 
 
-def propose(tables: dict, lists, sample=DETECTION_SAMPLE, policy: DataFrame = None,
+def propose(tables: dict, lists, sample=None, policy: DataFrame = None,
             review=False) -> DataFrame:
     """``(table, column, kind, passing, examined)`` for all columns worth encrypting.
 
+    All values are judged; ``sample`` looks at so many of each column instead.
+
     With a policy only columns without a rule are looked at, and with ``review``
     also those kept in clear. The policy is as small as the schema.
     """

@@ -102,8 +102,7 @@ def effect(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
 
 
 def check_effect(n_map: int, n_touched: int) -> int:
-    """A filled map that touches nothing is a fault, not a result."""
-    if n_map and not n_touched:
-        raise WriteWithoutEffect(f"the map holds {n_map} values but none of them matched a row; "
-                                 "nothing was written")
+    """Every value due must have been replaced; one left over is a fault, not a result."""
+    if n_map != n_touched:
+        raise WriteWithoutEffect(f"{n_map} values were due but {n_touched} were replaced; nothing was committed")
     return n_touched

@@ -10,6 +10,14 @@ from velario.functions.identifiers import Context, transform
 from velario.operators.profile import distinct_values, first_rows, profile
 
 
+PREVIEW_ROWS = ("operation string, column string, kind string, tweak string, n_rows bigint, "
+                "n_distinct bigint, before string, after string, error string")
+
+
+def _nothing(df, schema):
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def _values(df, column, n, ordered):
     values = distinct_values(df, column)
     return (values.orderBy(column) if ordered else values).limit(n)
@@ -25,20 +33,22 @@ def preview_values(df: DataFrame, ctx: Context, rules, nullified=(), n=8, ordere
     jobs = [(ENCRYPT, r.column, r) for r in rules]
     jobs += [(NULLIFY, c, None) for c in nullified] if ctx.forward else []
     parts = []
+    counted = {}
+    if jobs:            # one scan counts all columns
+        counted = {r["column"]: r for r in profile(df, sorted({j[1] for j in jobs})).toLocalIterator()}
     for operation, column, rule in jobs:
         some = _values(df, column, n, ordered).withColumn("before", F.col(column).cast("string"))
         if rule:
             some = transform(some, ctx, F.col("before"), rule.kind, rule.effective_tweak, "after", "error")
         else:
             some = some.withColumns({"after": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-        counts = profile(df, [column])
         parts.append(some.select(
             F.lit(operation).alias("operation"), F.lit(column).alias("column"),
             F.lit(rule.kind if rule else None).cast("string").alias("kind"),
             F.lit(rule.effective_tweak if rule else None).cast("string").alias("tweak"),
-            counts.select("n_rows").scalar().alias("n_rows"),
-            counts.select("n_distinct").scalar().alias("n_distinct"), "before", "after", "error"))
-    return reduce(DataFrame.unionByName, parts)
+            F.lit(counted[column]["n_rows"]).cast("bigint").alias("n_rows"),
+            F.lit(counted[column]["n_distinct"]).cast("bigint").alias("n_distinct"), "before", "after", "error"))
+    return reduce(DataFrame.unionByName, parts, _nothing(df, PREVIEW_ROWS))
 
 
 def preview_rows(df: DataFrame, ctx: Context, rules, nullified=(), key=(), n=30, ordered=False) -> DataFrame:
@@ -73,4 +83,4 @@ def untreatable(df: DataFrame, ctx: Context, rules) -> DataFrame:
         judged = transform(values, ctx, F.col("value"), rule.kind, rule.effective_tweak, "__new", "error")
         parts.append(judged.where(F.col("error").isNotNull()).select(
             F.lit(rule.column).alias("column"), "value", "error"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts, _nothing(df, "column string, value string, error string"))

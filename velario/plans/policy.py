@@ -14,8 +14,8 @@ from velario.fixed import ENCRYPT, ERROR, KEEP, LIST_TYPES, NULLIFY, STRATEGIES,
 from velario.functions.checksums import strip
 
 _AT = ["table", "column"]
-# A surrogate with leading zeros would not survive in these types.
-_NUMERIC = "^(tinyint|smallint|int|integer|bigint|long|float|real|double|decimal|numeric|money)\\b"
+# Only text holds a surrogate as it is: numbers lose leading zeros, dates refuse it.
+_TEXT = "^(string|char|varchar)\\b"
 
 
 def effective_tweak(column="column", tweak="tweak") -> Column:
@@ -116,9 +116,9 @@ def ambiguous_tweaks(policy):
 
 def numeric_columns(policy, schema):
     risky = (policy.where(F.col("strategy") == ENCRYPT).join(schema, _AT)
-             .where(F.lower("type").rlike(_NUMERIC)))
+             .where(~F.lower("type").rlike(_TEXT)))
     return _problems(risky, place(), "numeric_column", F.concat(
-        F.lit("a surrogate would lose its leading zeros in type "), F.col("type")))
+        F.lit("only text can hold a surrogate, not type "), F.col("type")))
 
 
 def narrow_columns(policy, schema, lists):

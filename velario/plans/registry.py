@@ -49,13 +49,13 @@ def interrupted(log: DataFrame, database: str) -> DataFrame:
 def history(log: DataFrame, length=HISTORY_LENGTH) -> DataFrame:
     """The states before the current one, newest first, at most ``length`` per column.
 
-    The bound on the row number is applied before the shuffle too, so a column
-    with a very long history sends no more than that many entries.
+    The bound on the row number is applied before the shuffle too (a group limit in
+    the plan), so a column with a very long history sends no more entries than that.
     """
     newest = Window.partitionBy(*_COLUMN).orderBy(F.col("version").desc())
-    numbered = log.withColumn("__age", F.row_number().over(newest) - 1)
-    return numbered.where(F.col("__age").between(1, length)).select(
-        *_COLUMN, F.col("__age").alias("age"), "state", "key_id", "updated", "rows")
+    numbered = log.withColumn("__place", F.row_number().over(newest)).where(F.col("__place") <= length + 1)
+    return numbered.where("__place > 1").select(
+        *_COLUMN, (F.col("__place") - 1).alias("age"), "state", "key_id", "updated", "rows")
 
 
 # -- new entries ------------------------------------------------------------------

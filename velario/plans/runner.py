@@ -19,7 +19,6 @@ from velario.sources.wordlists import default_lists
 
 # Ranges are jobs of their own, started by the driver one after the other.
 MAX_RANGES = 10_000
-_SHOWN = 100
 REPORT = ("operation string, table string, column string, kind string, rows_updated bigint, "
           "n_untreatable bigint")
 
@@ -87,7 +86,8 @@ class Runner:
         return P.ordered_problems(reduce(DataFrame.unionByName, parts))
 
     def gate(self, direction, only=None, resuming=()):
-        errors = P.blocking(self.problems(direction, only, resuming)).take(_SHOWN)
+        blocking = P.blocking(self.problems(direction, only, resuming))
+        errors = list(blocking.toLocalIterator())      # as many as the schema has columns, at most
         if errors:
             raise GateFailed(errors)
 

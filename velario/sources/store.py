@@ -23,6 +23,20 @@ OPERATION = ("run string, table string, column string, phase string, rows bigint
 _STAGED = re.compile(r"^run-[0-9a-f]{12}$")
 
 
+# What a row of each log cannot do without; a row that lacks it is damaged.
+_REQUIRED = {"commits": ("table", "version", "path"), "range_plan": ("run", "table", "number"),
+             "ranges_done": ("run", "table", "number"), "registry": ("table", "column", "version", "state")}
+
+
+def whole_rows(log: DataFrame, name: str) -> DataFrame:
+    """The log, failing closed at a row without its key: better no run than a run
+    that takes an encrypted column for a clear one."""
+    for column in _REQUIRED.get(name, ()):
+        damaged = F.raise_error(F.lit(f"the log {name} is damaged: a row has no {column}"))
+        log = log.withColumn(column, F.coalesce(column, damaged.cast(log.schema[column].dataType)))
+    return log
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -48,7 +62,7 @@ class TableStore:
         folder = f"{self.root}/{name}"
         if not self._exists(folder):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(folder)
+        return whole_rows(self.spark.read.schema(schema).json(folder, mode="FAILFAST"), name)
 
     def _append(self, name, rows: DataFrame):
         rows.coalesce(1).write.mode("append").json(f"{self.root}/{name}")

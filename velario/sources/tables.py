@@ -99,4 +99,6 @@ def profile_tables(tables: dict, columns=None) -> DataFrame:
     from velario.operators.profile import profile
     parts = [profile(df, (columns or {}).get(name, df.columns)).select(F.lit(name).alias("table"), "*")
              for name, df in sorted(tables.items())]
+    if not parts:
+        raise ValueError("no table to describe")
     return reduce(DataFrame.unionByName, parts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from velario.fixed import FALLBACK_VERSION, MIN_DOMAIN
 
-# A list travels whole to every executor, so its size is checked.
+# A list travels whole to every executor, so the size of what it holds is checked.
 MAX_ENTRIES = 200_000
 
 
@@ -48,9 +48,10 @@ def load(spark: SparkSession, path: str, name=None) -> WordList:
     """Read a list file: one entry per line, blanks and ``#`` lines skipped."""
     lines = F.posexplode(F.split(F.col("value"), "\r\n|\r|\n")).alias("pos", "line")
     rows = (spark.read.text(path, wholetext=True).select(lines)
-            .where((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
-            .limit(MAX_ENTRIES + 1).toLocalIterator())
-    ordered = sorted((r["pos"], r["line"]) for r in rows)
+            .where((F.trim("line") != "") & ~F.ltrim("line").startswith("#")))
+    # repeated lines go before anything is counted or leaves the executors
+    first = rows.groupBy("line").agg(F.min("pos").alias("pos"))
+    ordered = sorted((r["pos"], r["line"]) for r in first.toLocalIterator())
     return WordList([line for _, line in ordered], name or path.rsplit("/", 1)[-1])
 
 
