@@ -3,29 +3,25 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = 256
+from velario.session import saved
 
 
-def numbered(df: DataFrame, key: str, buckets=_BUCKETS) -> DataFrame:
-    """Add ``__number``: the 0-based place of each row in key order, exactly.
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """``(key, __number)``: the 0-based place of each key in order, exactly.
 
-    A global ``row_number`` would sort everything in one task. Here approximate
-    percentiles cut the key into buckets, rows are numbered inside each bucket in
-    parallel, and the buckets' sizes (one row each) give the offsets. The key is
-    unique, so buckets are even whatever its distribution.
+    A global ``row_number`` would sort everything in one task. Spark range-partitions
+    the keys, of any type that has an order; each part is numbered by itself, and
+    the parts' sizes (one row each) give the offsets. The parts are written first,
+    for sizes and numbers must speak of the same cuts.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(key, shares, 10_000).alias("cuts"))
-    placed = df.withColumn("__cuts", cuts.scalar()).withColumn(
-        "__bucket", F.size(F.filter("__cuts", lambda cut: cut < F.col(key)))).drop("__cuts")
-    # one row per bucket: the only window here without a partition is over those
-    sizes = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    offsets = sizes.select("__bucket", F.coalesce(F.sum("__size").over(
-        Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
-    return (placed.withColumn("__inside", inside).join(F.broadcast(offsets), "__bucket")
-            .withColumn("__number", F.col("__offset") + F.col("__inside"))
-            .drop("__inside", "__offset", "__bucket"))
+    parts = saved(df.select(key).repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ordered_keys")
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # one row per part: the only window here without a partition is over those
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(
+        Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    return parts.withColumn("__inside", inside).join(offsets, "__part").select(
+        key, (F.col("__offset") + F.col("__inside")).alias("__number"))
 
 
 def range_bounds(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:

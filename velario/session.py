@@ -3,12 +3,10 @@
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 
 def local_session(cores="*", name="velario", partitions=8, memory="16g") -> SparkSession:
@@ -25,15 +23,6 @@ def local_session(cores="*", name="velario", partitions=8, memory="16g") -> Spar
     )
 
 
-def small_frame(spark: SparkSession, rows, schema):
-    """Driver-made metadata rows as a local relation: no job runs to scan them."""
-    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(fields, timezone="UTC")
-    columns = list(zip(*rows)) or [[]] * len(fields)
-    return spark.createDataFrame(
-        pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow), fields)
-
-
 _SHIPPED = set()
 
 
@@ -61,13 +50,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediates: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local runs) is a temporary folder used.
+    A session without that setting (tests on one machine) uses its warehouse.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="velario-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_saved").rstrip("/")
+
+
+def saved(df, name: str):
+    """Write to the shared folder and read back: rows that are used more than once
+    and must be the same each time, and a lineage that ends in files."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
