@@ -191,15 +191,16 @@ def _search(keys, slice_, radius, shard_limit):
 
 
 def near_groups(docs: DataFrame, radius=RADIUS, shard_limit=SHARD_LIMIT) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of each row; the component is its smallest id."""
+    """``(doc_id, fp, root, component_id)`` of each row: its group's smallest
+    fingerprint, and the smallest id in the group."""
     marked = saved(fingerprints(docs), "fingerprints")
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "fingerprint_ids")
     roots = components(links(distinct.select("fp"), radius, shard_limit), "fingerprint_groups")
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "low_id")
     ids = grouped.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    named = grouped.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex16(fp):
@@ -213,11 +214,26 @@ def keep_one(docs: DataFrame, radius=RADIUS) -> DataFrame:
     Repeated rows of that id count as copies; of a group without ids one row stays.
     """
     groups = near_groups(docs, radius)
-    alone = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    return _first_rows(docs, alone)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    known = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__kept")).dropDuplicates(["__kept"])
+    unnamed = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("__kept"))
+    others = _with_fingerprint(docs.where("doc_id is null")).join(unnamed, "__kept").dropDuplicates(["__kept"])
+    return known.select(docs.columns).unionByName(others.select(docs.columns))
 
 
-def _first_rows(docs, winners):
-    known = docs.join(winners.where("doc_id is not null").select(F.col("doc_id").alias("__kept_id")),
-                      F.col("doc_id").cast("bigint") == F.col("__kept_id")).dropDuplicates(["__kept_id"])
-    return known.drop("__kept_id")
+def _with_fingerprint(docs):
+    """``docs`` with the column ``__kept``, the fingerprint."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    place = f"c{names.index('text')}"
+    source = plain.withColumn("text", F.coalesce(F.col(place).cast("string"), F.lit("")))
+    columns = plain.columns
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in column_bytes(batch, "text")], np.uint64).view(np.int64)
+            own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays(own + [pa.array(fps)], names=[*columns, "__kept"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields] + ["__kept bigint"]
+    return source.mapInArrow(run, ", ".join(fields)).toDF(*names, "__kept")

@@ -47,7 +47,7 @@ class Classifier:
     shares: np.ndarray
 
     def posteriors(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids):
+        if not len(ids) or not self.domains:
             return self.shares
         score = self.empty + self.weights[np.unique(ids)].sum(0)
         p = np.exp(np.clip(score - score.max(), -50, 0))

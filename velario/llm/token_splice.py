@@ -98,7 +98,7 @@ def splice(edges: DataFrame) -> DataFrame:
     """``(key, doc_id, n_bytes, n_tokens)``; n_tokens is null where a pair of
     neighbouring chunks has no common stable boundary."""
     order = Window.partitionBy("key").orderBy("chunk")
-    common = F.array_intersect("tail", F.col("next_head"))[0]
+    common = F.get(F.array_intersect("tail", F.col("next_head")), F.lit(0))
     pairs = edges.select("*", F.lead("head").over(order).alias("next_head"),
                          F.lead("head_before").over(order).alias("next_before")).withColumn("at", common)
     doubled = (F.element_at("tail_after", F.array_position("tail", F.col("at")).cast("int"))
