@@ -123,14 +123,20 @@ class Runner:
 
         The old version is unchanged, so the result equals an uninterrupted run.
         """
-        entries = R.resumable(self.store.registry(), self.policy, self.database, direction).where(
-            F.col("table") == table).toLocalIterator()
+        wanted = (ENCRYPT, NULLIFY) if direction == ENCRYPT else (direction,)
+        planned = self.store.range_plan().where(F.col("table") == table).select("run").distinct()
+        # whatever range the run broke off in, the first one too: the plan says what is left
+        entries = (R.interrupted(self.store.registry(), self.database)
+                   .where((F.col("table") == table) & F.col("operation").isin(*wanted))
+                   .join(planned, "run", "left_semi").toLocalIterator())
         by_run = {}
         for e in entries:
             by_run.setdefault(e["run"], []).append(e)
         if not by_run:
             raise LookupError(f"nothing to resume in {table}")
         run, entries = sorted(by_run.items())[0]
+        nullified = sorted(e["column"] for e in entries if e["operation"] == NULLIFY)
+        entries = [e for e in entries if e["operation"] != NULLIFY]
         plan = self.store.range_plan().where((F.col("run") == run) & (F.col("table") == table)).first()
         if plan is None or plan["base"] != self.store.current(table)["version"]:
             raise R.InconsistentState(f"{table} has a newer version than the interrupted run began with; "
@@ -143,15 +149,9 @@ class Runner:
             raise R.InconsistentState(f"{table} was begun with another key or word list")
         rules = [Rule(e["column"], e["kind"], e["tweak"]) for e in entries]
         left = []
-        nullified = self._nullified_in(run, table)
         results = self._treat(table, rules, nullified, direction, on_bad, run, on_range, left, resumed=True)
         return self._report(direction, results, left)
 
-    def _nullified_in(self, run, table):
-        rows = self.store.registry().where((F.col("run") == run) & (F.col("table") == table)
-                                           & (F.col("operation") == NULLIFY)).select("column").distinct()
-        return sorted(r["column"] for r in rows.toLocalIterator())
-
     def _report(self, direction, results, left):
         columns = self.spark.createDataFrame(results, REPORT)
         none = self.spark.createDataFrame([], "table string, column string, value string, error string")
@@ -181,7 +181,7 @@ class Runner:
         return self._conclude(table, rules, empty, direction, run, counts, skipped, began)
 
     def _refused(self, table, wide, rules, on_bad, run, began):
-        """Untreatable values per column, counted without running a permutation."""
+        """Untreatable values per column; their reasons are expressions, so no surrogate is computed."""
         if not rules:
             return {}
         row = wide.agg(*[F.count(F.col(f"{r.column}__error")).alias(r.column) for r in rules],
@@ -230,6 +230,8 @@ class Runner:
         if resumed:
             plan = self.store.range_plan().where((F.col("run") == run) & (F.col("table") == table))
         elif self.rows_per_range and key:
+            if df.count() > MAX_RANGES * self.rows_per_range:      # before anything is put on record
+                raise ValueError(f"more than {MAX_RANGES} ranges; raise rows_per_range")
             bounds = range_bounds(df, key, self.rows_per_range)
             base = self.store.current(table)["version"]
             plan = bounds.select(F.lit(run).alias("run"), F.lit(table).alias("table"),
@@ -240,9 +242,7 @@ class Runner:
             plan = self.store.range_plan().where((F.col("run") == run) & (F.col("table") == table))
         else:
             return None
-        rows = plan.select("number", "upto").limit(MAX_RANGES + 1).collect()
-        if len(rows) > MAX_RANGES:
-            raise ValueError(f"more than {MAX_RANGES} ranges; raise rows_per_range")
+        rows = plan.select("number", "upto").collect()            # at most MAX_RANGES
         ordered = sorted((r["number"], r["upto"]) for r in rows)
         steps = [(n, ordered[i - 1][1] if i else None, upto) for i, (n, upto) in enumerate(ordered)]
         done = {r["number"] for r in self.store.ranges_done().where(
