@@ -2,17 +2,11 @@
 
 Spark's own ``aes_encrypt`` sets up a cipher for every call (10-25 us); FF1 needs
 ten dependent calls per value. Encrypting one block of *every* row of a batch at
-once spreads the call overhead over the batch. ``cryptography`` is used where the
-cluster has it; otherwise the same blocks go through numpy table look-ups.
+once, by numpy table look-ups, spreads the call overhead over the batch.
 """
 
 import numpy as np
 
-try:
-    from cryptography.hazmat.primitives.ciphers import Cipher, algorithms, modes
-except ImportError:
-    Cipher = None
-
 
 def _xtime(x):
     return ((x << 1) ^ 0x1B) & 0xFF if x & 0x80 else x << 1
@@ -39,6 +33,8 @@ def _build_tables():
 
 _SBOX, _TABLES, _LAST_TABLES = _build_tables()
 
+_TURNS = [[(c + r) % 4 for c in range(4)] for r in range(4)]
+
 
 def _expand(key):
     """Round keys as 32-bit words."""
@@ -62,38 +58,31 @@ def _expand(key):
 class Aes:
     """``encrypt`` takes and gives a uint32 array of shape (4, rows)."""
 
-    def __init__(self, key: bytes, pure_numpy: bool = False):
-        self._ecb = None
-        if Cipher is not None and not pure_numpy:
-            self._ecb = Cipher(algorithms.AES(key), modes.ECB()).encryptor()
-        self._round_keys = _expand(key)
+    def __init__(self, key: bytes):
+        self._round_keys = _expand(key)[:, :, None]
 
     def encrypt(self, words):
-        if self._ecb is not None:
-            data = np.ascontiguousarray(words.T.astype(">u4")).tobytes()
-            out = np.frombuffer(self._ecb.update(data), ">u4")
-            return np.ascontiguousarray(out.reshape(-1, 4).T).astype(np.uint32)
         keys = self._round_keys
-        state = [words[c] ^ keys[0][c] for c in range(4)]
+        state = words ^ keys[0]
         for round_key in keys[1:-1]:
             state = self._mix(state, _TABLES, round_key)
-        return np.stack(self._mix(state, _LAST_TABLES, keys[-1]))
+        return self._mix(state, _LAST_TABLES, keys[-1])
 
     @staticmethod
     def _mix(state, tables, round_key):
-        """One round: each output word takes one byte of every input word."""
-        # Rows of index[c] are the bytes of word c, least significant first. Wide
-        # indexes and mode="clip" spare take() its own conversion and range check.
-        index = [np.ascontiguousarray(s).view(np.uint8).reshape(-1, 4).T.astype(np.intp)
-                 for s in state]
-        return [
-            tables[0].take(index[c][3], mode="clip")
-            ^ tables[1].take(index[(c + 1) % 4][2], mode="clip")
-            ^ tables[2].take(index[(c + 2) % 4][1], mode="clip")
-            ^ tables[3].take(index[(c + 3) % 4][0], mode="clip")
-            ^ round_key[c]
-            for c in range(4)
-        ]
+        """One round: each output word takes one byte of every input word.
+
+        The four words are mixed at once, so that short batches - the last values
+        of a walk - do not pay for sixteen small look-ups.
+        """
+        # The bytes of each word, least significant first. Wide indexes and
+        # mode="clip" spare take() its own conversion and range check.
+        index = np.ascontiguousarray(state).view(np.uint8).reshape(4, -1, 4).astype(np.intp)
+        out = tables[0].take(index[:, :, 3], mode="clip")
+        for r in (1, 2, 3):
+            out ^= tables[r].take(index[_TURNS[r], :, 3 - r], mode="clip")
+        out ^= round_key
+        return out
 
     def mac(self, data: bytes):
         """CBC-MAC state (four words) of constant blocks."""
