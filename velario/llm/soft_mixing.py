@@ -31,7 +31,8 @@ TRAINING_ROWS = 20_000        # bound of the labelled rows that the classifier i
 STEPS = 30
 TOLERANCE = 1e-3              # error of a domain's share of all tokens at which steps end
 _IDLE = 4                     # steps that gain less than a tenth, after which none follow
-_SURE = 4.0                   # standard errors at which a token tells domains apart
+SIGNALS = 256                 # tokens whose shares the classifier looks at
+_FITTING_STEPS = 200
 
 # shares of all tokens to train on, by "q<quality>t<toxic>"
 TARGETS = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.01, "q0t1": 0.01}
@@ -39,19 +40,31 @@ TARGETS = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.01, "q0t1": 0.01}
 
 @dataclass
 class Classifier:
-    """Per domain, what a token's presence adds to the score of an empty document."""
+    """Softmax regression on the shares of some telling tokens in a document.
+
+    ``slot`` gives each token's place among them, or their number for all others.
+    """
 
     domains: list
-    empty: np.ndarray
-    weights: np.ndarray
     shares: np.ndarray
+    slot: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def features(self, ids: np.ndarray) -> np.ndarray:
+        n = len(self.scale)
+        return np.sqrt(np.bincount(self.slot[ids], minlength=n + 1)[:n] / max(len(ids), 1)) * self.scale
 
     def posteriors(self, ids: np.ndarray) -> np.ndarray:
         if not len(ids) or not self.domains:
             return self.shares
-        score = self.empty + self.weights[np.unique(ids)].sum(0)
-        p = np.exp(np.clip(score - score.max(), -50, 0))
-        return p / p.sum()
+        return softmax(self.features(ids) @ self.weights + self.bias)
+
+
+def softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(-1, keepdims=True))
+    return p / p.sum(-1, keepdims=True)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -64,8 +77,8 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, domains: DataFrame, tokenizer="word_bpe_49k.json", training_rows=TRAINING_ROWS) -> Classifier:
     """Fit on at most about ``training_rows`` labelled documents, whole texts.
 
-    What is broadcast are those rows' ids; what returns has a number per domain
-    and token of the vocabulary.
+    What is broadcast are those rows' ids. What returns to the driver are two
+    numbers per domain and token of the vocabulary, and ``SIGNALS`` per labelled row.
     """
     ready(docs.sparkSession)
     rows = domains.count()
@@ -75,44 +88,92 @@ def fit(docs: DataFrame, domains: DataFrame, tokenizer="word_bpe_49k.json", trai
     labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                            F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
 
-    def count(batches):
-        coder, seen, n = encoder(tokenizer), {}, {}
+    table = _token_shares(labelled, tokenizer).toPandas()          # domains x tokens of the vocabulary
+    names = sorted(table["domain"].unique().tolist())
+    size = encoder(tokenizer).size
+    first, second = np.zeros((len(names), size + 1)), np.zeros((len(names), size + 1))
+    place = table["domain"].map({d: i for i, d in enumerate(names)}).to_numpy(np.int64)
+    token = table["token"].to_numpy(np.int64)                      # the last place: numbers of documents
+    first[place, token], second[place, token] = table["share"], table["square"]
+    n = first[:, size]
+    model = Classifier(names, n / max(n.sum(), 1), np.full(size, 0, np.int32), np.ones(0), np.zeros((0, len(names))),
+                       np.log((n + 1) / (n.sum() + len(names))))
+    if len(names) < 2:
+        return model
+    telling = np.sort(np.argsort(-_contrast(first[:, :size], second[:, :size], n), kind="stable")[:SIGNALS])
+    model.slot = np.full(size, len(telling), np.int32)
+    model.slot[telling] = np.arange(len(telling))
+    model.scale = np.ones(len(telling))
+    return _regress(model, _feature_rows(labelled, model, tokenizer).toPandas())   # at most the bounded sample
+
+
+def _token_shares(labelled, tokenizer) -> DataFrame:
+    """``(domain, token, share, square)``: sums of the square roots of tokens' shares and
+    of the shares, by domain; in place of a token, its vocabulary's size counts documents."""
+    def run(batches):
+        coder, sums = encoder(tokenizer), {}
         for batch in batches:
             found = coder.encode_many(column_bytes(batch, "text"))
             for domain, ids in zip(batch.column("domain").to_pylist(), found):
-                if domain not in seen:
-                    seen[domain], n[domain] = np.zeros(coder.size, np.int64), 0
-                seen[domain][np.unique(np.frombuffer(ids, coder.dtype))] += 1
-                n[domain] += 1
-        for domain, counts in seen.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([domain] * (len(some) + 1)), pa.array(np.append(some, -1)),
-                 pa.array(np.append(counts[some], n[domain]))], names=["domain", "token", "n"])
+                one = sums.setdefault(domain, np.zeros((2, coder.size + 1)))
+                token, n = np.unique(np.frombuffer(ids, coder.dtype), return_counts=True)
+                share = n / max(n.sum(), 1)
+                one[0, token] += np.sqrt(share)
+                one[1, token] += share
+                one[:, -1] += 1
+        for domain, (share, square) in sums.items():
+            some = np.flatnonzero(share)
+            yield pa.RecordBatch.from_arrays([pa.array([domain] * len(some)), pa.array(some), pa.array(share[some]),
+                                              pa.array(square[some])], names=["domain", "token", "share", "square"])
+
+    each = labelled.select("domain", "text").mapInArrow(run, "domain string, token bigint, share double, square double")
+    return each.groupBy("domain", "token").agg(F.sum("share").alias("share"), F.sum("square").alias("square"))
+
+
+def _contrast(first, second, n) -> np.ndarray:
+    """For each token, how many standard errors its mean in some domain is from the others'."""
+    best = np.zeros(first.shape[1])
+    for i in range(len(n)):
+        yes, no = max(n[i], 1), max(n.sum() - n[i], 1)
+        a, b = first[i] / yes, (first.sum(0) - first[i]) / no
+        spread = (second[i] / yes - a ** 2) / yes + ((second.sum(0) - second[i]) / no - b ** 2) / no
+        best = np.maximum(best, np.abs(a - b) / np.sqrt(np.maximum(spread, 0) + 1e-9))
+    return best
+
+
+def _feature_rows(labelled, model, tokenizer) -> DataFrame:
+    place = {d: i for i, d in enumerate(model.domains)}
 
-    table = (labelled.select("domain", "text").mapInArrow(count, "domain string, token bigint, n bigint")
-             .groupBy("domain", "token").agg(F.sum("n").alias("n")).toPandas())
-    names = sorted(table["domain"].unique().tolist())
-    size = int(table["token"].max()) + 1 if len(table) else 1
-    seen, total = np.zeros((size, len(names))), np.zeros(len(names))
-    for i, name in enumerate(names):
-        own = table[table["domain"] == name]
-        total[i] = own["n"][own["token"] < 0].sum()
-        own = own[own["token"] >= 0]
-        seen[own["token"].to_numpy(), i] = own["n"]
-    # Presence and absence of tokens both count, as independent events. A token that
-    # does not surely set a domain apart has the same share in it as anywhere.
-    weights = np.zeros((max(encoder(tokenizer).size, size), len(names)))
-    everywhere = (seen.sum(1) + 0.5) / (total.sum() + 1)
-    empty = np.log((total + 1) / (total.sum() + len(names)))
-    for i in range(len(names)):
-        rest_seen, rest = seen.sum(1) - seen[:, i], total.sum() - total[i]
-        yes, no = (seen[:, i] + 0.5) / (total[i] + 1), (rest_seen + 0.5) / (rest + 1)
-        error = np.sqrt(yes * (1 - yes) / (total[i] + 1) + no * (1 - no) / (rest + 1)) + 1e-9
-        share = np.where(np.abs(yes - no) > _SURE * error, yes, everywhere)
-        weights[:size, i] = np.log(share / everywhere) - np.log((1 - share) / (1 - everywhere))
-        empty[i] += np.log((1 - share) / (1 - everywhere)).sum()
-    return Classifier(names, empty, weights, total / max(total.sum(), 1))
+    def run(batches):
+        coder = encoder(tokenizer)
+        for batch in batches:
+            found = coder.encode_many(column_bytes(batch, "text"))
+            rows = [model.features(np.frombuffer(i, coder.dtype)).astype("<f4").tobytes() for i in found]
+            yield pa.RecordBatch.from_arrays([pa.array([place[d] for d in batch.column("domain").to_pylist()], pa.int32()),
+                                              pa.array(rows, pa.binary())], names=["d", "x"])
+
+    return labelled.select("domain", "text").mapInArrow(run, "d int, x binary")
+
+
+def _regress(model, rows) -> Classifier:
+    """Softmax regression by accelerated gradient steps, with a little ridge."""
+    x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(len(rows), -1).astype(np.float64)
+    scale = 1 / (x.std(0) + 1e-3)
+    x *= scale
+    centre = x.mean(0)
+    x -= centre
+    truth = np.eye(len(model.domains))[rows["d"].to_numpy()]
+    step = 2 / (np.linalg.norm(x.T @ x / len(x), 2) + 1)
+    w = v = np.zeros((x.shape[1], truth.shape[1]))
+    b = c = np.log(truth.mean(0) + 1e-6)
+    for k in range(_FITTING_STEPS):
+        error = softmax(x @ v + c) - truth
+        w_next, b_next = v - step * (x.T @ error / len(x) + 1e-4 * v), c - step * error.mean(0)
+        pace = k / (k + 3)
+        v, c = w_next + pace * (w_next - w), b_next + pace * (b_next - b)
+        w, b = w_next, b_next
+    model.scale, model.weights, model.bias = scale, w, b - centre @ w
+    return model
 
 
 def memberships(docs: DataFrame, model: Classifier, tokenizer="word_bpe_49k.json") -> DataFrame:
