@@ -118,3 +118,20 @@ def test_a_run_broken_off_in_its_first_range_resumes(spark, tmp_path, only_empti
     done = store.read("clienti")
     assert done.where("citta is not null").count() == 0 and done.count() == 12
     assert (done.where(F.col("codice_fiscale").isin(CODES)).count() == 0) != only_empties
+
+
+def test_repeating_values_are_treated_once_with_the_same_result(spark, tmp_path):
+    rows = [(i, None if i % 9 == 0 else CODES[i % 4] if i % 50 else "?", "Roma") for i in range(200)]
+    given = spark.createDataFrame(rows, "id int, codice_fiscale string, citta string")
+    given.write.parquet(f"{tmp_path}/c")
+    store = TableStore(spark, f"{tmp_path}/store")
+    store.register("clienti", f"{tmp_path}/c")
+    runner = Runner(store, spark.createDataFrame(POLICY[:3], POLICY_ROWS), KEY, "db", CONSTRAINTS)
+    report = runner.run("cifra", on_bad="skip")
+    inline = encrypt(given, KEY, [Rule("codice_fiscale", "CF", "persona")], on_bad="skip")
+    assert store.read("clienti").select("id", "codice_fiscale").exceptAll(inline.select("id", "codice_fiscale")).count() == 0
+    logged = store.operations().where("phase = 'checked'").first()
+    assert logged["rows"] == 200 and 4 <= logged["n_distinct"] <= 6         # an estimate
+    done = {r["column"]: (r["rows_updated"], r["n_untreatable"]) for r in report.columns.collect()}
+    bad = sum(1 for r in rows if r[1] == "?")
+    assert done["codice_fiscale"] == (sum(1 for r in rows if r[1]) - bad, bad)

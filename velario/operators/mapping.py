@@ -5,29 +5,31 @@ from pyspark.sql import functions as F
 
 from velario.functions.identifiers import Context, transform
 
-# A map side is broadcast only below this many rows, counted first.
-BROADCAST_ROWS = 500_000
-# A value is hot when it holds more than this share of the rows.
-HOT_SHARE = 0.01
-_SPREAD = 1024
-
 
 class WriteWithoutEffect(RuntimeError):
     """A filled map matched no row: the comparison does not compare."""
 
 
 def value_map(df: DataFrame, ctx: Context, column: str, kind: str, tweak: str) -> DataFrame:
-    """``(old, new, error, n)`` for every distinct value, with its number of rows.
-
-    The count comes with the same partial aggregation as the distinct, and tells
-    ``apply_map`` which values are hot.
-    """
+    """``(old, new, error, n)`` for every distinct value, with its number of rows."""
     values = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("old"))
               .agg(F.count(F.lit(1)).alias("n")))
     return transform(values, ctx, F.col("old").cast("string"), kind, tweak, "new", "error").select(
         "old", "new", "error", "n")
 
 
+def with_mapped(df: DataFrame, ctx: Context, column: str, kind: str, tweak: str, new: str, error: str) -> DataFrame:
+    """Add ``new`` and ``error`` like ``transform``, computed once per distinct value.
+
+    The values are made distinct with partial aggregation and joined back. Spark
+    broadcasts them if their bytes allow it, and splits the rows of a value that
+    many rows share.
+    """
+    pairs = value_map(df, ctx, column, kind, tweak).select(
+        F.col("old").alias("__old"), F.col("new").alias(new), F.col("error").alias(error))
+    return df.join(pairs, F.col(column) == F.col("__old"), "left").drop("__old")
+
+
 def _check_types(df, column, pairs):
     ours, theirs = df.schema[column].dataType, pairs.schema["old"].dataType
     if ours != theirs:
@@ -35,62 +37,34 @@ def _check_types(df, column, pairs):
                         f"{ours.simpleString()}: they would not compare exactly")
 
 
-def _in_range(key, after, upto):
-    inside = F.lit(True)
+def _in_range(df, key, after, upto):
+    """Typed literals: numbers are never compared as text."""
+    kind, inside = df.schema[key].dataType, F.lit(True)
     if after is not None:
-        inside = inside & (F.col(key) > F.lit(after))
+        inside = inside & (F.col(key) > F.lit(after).cast(kind))
     if upto is not None:
-        inside = inside & (F.col(key) <= F.lit(upto))
+        inside = inside & (F.col(key) <= F.lit(upto).cast(kind))
     return inside
 
 
-def apply_map(df: DataFrame, column: str, pairs: DataFrame, key=None, after=None, upto=None,
-              hot=None) -> DataFrame:
+def apply_map(df: DataFrame, column: str, pairs: DataFrame, key=None, after=None, upto=None) -> DataFrame:
     """Replace ``column`` by ``new`` where it equals ``old``; other rows stay.
 
     ``pairs`` holds each ``old`` once. With ``key`` only rows in ``(after, upto]``
-    change. ``hot`` are the pairs of very frequent values (see ``hot_pairs``):
-    their rows are served by a broadcast join and spread out of the shuffle join,
-    so that one value holding a third of the table does not land in one task.
+    change. One equi-join: Spark chooses by bytes whether to broadcast the map, and
+    splits skewed values.
     """
     _check_types(df, column, pairs)
-    inside = _in_range(key, after, upto) if key is not None else F.lit(True)
+    inside = _in_range(df, key, after, upto) if key is not None else F.lit(True)
     wanted = df.withColumn("__old", F.when(inside, F.col(column)))
     columns = [F.coalesce("__new", F.col(c)).alias(c) if c == column else F.col(c) for c in df.columns]
     mapped = pairs.select(F.col("old").alias("__key"), F.col("new").alias("__new"))
-    if hot is None:
-        return wanted.join(mapped, F.col("__old") == F.col("__key"), "left").select(columns)
-
-    hot = hot.select(F.col("old").alias("__hot"), F.col("new").alias("__hot_new"))
-    served = wanted.join(F.broadcast(hot), F.col("__old") == F.col("__hot"), "left")
-    # Rows already served, and NULLs, get a salt that matches no pair and so
-    # spread over all tasks instead of meeting in the task of one key.
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(_SPREAD)) + 1
-    served = served.withColumn("__salt", F.when(
-        F.col("__hot").isNotNull() | F.col("__old").isNull(), spread).otherwise(F.lit(0).cast("bigint")))
-    served = served.withColumn("__old", F.when(F.col("__salt") == 0, F.col("__old")))
-    # always 0, but not a literal: a literal would be folded out of the join key
-    cold = mapped.withColumn("__pair_salt", F.pmod(F.xxhash64("__key"), F.lit(1)))
-    joined = served.join(cold, (F.col("__old") == F.col("__key")) & (F.col("__salt") == F.col("__pair_salt")),
-                         "left")
-    joined = joined.withColumn("__new", F.coalesce("__hot_new", "__new"))
-    return joined.select(columns)
-
-
-def hot_pairs(pairs: DataFrame, total_rows: int) -> DataFrame:
-    """Pairs of values above the hot share: at most ``1 / HOT_SHARE`` rows."""
-    return pairs.where(F.col("n") > F.lit(total_rows * HOT_SHARE))
-
-
-def plan_map(df: DataFrame, column: str, pairs: DataFrame, n_rows: int, n_distinct: int, **where):
-    """Choose how to bring the map to the rows, from measured counts."""
-    if n_distinct <= BROADCAST_ROWS:
-        return apply_map(df, column, F.broadcast(pairs), **where)
-    return apply_map(df, column, pairs, hot=hot_pairs(pairs, n_rows), **where)
+    return wanted.join(mapped, F.col("__old") == F.col("__key"), "left").select(columns)
 
 
 def effect(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
     """``(n_map, n_matched, n_effective)`` of applying a map."""
+    _check_types(df, column, pairs)
     sizes = pairs.agg(F.count(F.lit(1)).alias("n_map"))
     hits = (df.groupBy(F.col(column).alias("old")).agg(F.count(F.lit(1)).alias("rows"))
             .join(pairs.select("old", "new"), "old")

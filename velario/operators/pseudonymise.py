@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velario.functions.identifiers import Context, transform
 from velario.key import Key
+from velario.operators.mapping import with_mapped
 from velario.sources.wordlists import default_lists
 
 
@@ -32,9 +33,17 @@ def context(spark, key: Key, forward=True, lists=None, strict=False) -> Context:
     return Context(spark, key, forward, {**default_lists(), **(lists or {})}, strict)
 
 
-def with_surrogates(df: DataFrame, ctx: Context, rules, suffix_new="__new", suffix_error="__error"):
-    """Add ``<column>__new`` and ``<column>__error`` for every rule."""
+def with_surrogates(df: DataFrame, ctx: Context, rules, suffix_new="__new", suffix_error="__error", mapped=()):
+    """Add ``<column>__new`` and ``<column>__error`` for every rule.
+
+    Columns named in ``mapped`` are treated once per distinct value and joined
+    back, which pays where values repeat; the others row by row, without a shuffle.
+    """
     for rule in rules:
+        if rule.column in mapped:
+            df = with_mapped(df, ctx, rule.column, rule.kind, rule.effective_tweak,
+                             rule.column + suffix_new, rule.column + suffix_error)
+            continue
         df = transform(df, ctx, F.col(rule.column).cast("string"), rule.kind, rule.effective_tweak,
                        rule.column + suffix_new, rule.column + suffix_error)
     return df

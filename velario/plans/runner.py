@@ -19,6 +19,8 @@ from velario.sources.wordlists import default_lists
 
 # Ranges are jobs of their own, started by the driver one after the other.
 MAX_RANGES = 10_000
+# Rows per value from which a column is treated by its distinct values.
+REPEATS = 20
 REPORT = ("operation string, table string, column string, kind string, rows_updated bigint, "
           "n_untreatable bigint")
 
@@ -161,8 +163,8 @@ class Runner:
         forward, began = direction == ENCRYPT, time.time()
         df = self.store.read(table)
         ctx = context(self.spark, self.key, forward, self.lists)
-        wide = with_surrogates(df, ctx, rules)
-        skipped = self._refused(table, wide, rules, on_bad, run, began)
+        skipped, mapped = self._refused(table, with_surrogates(df, ctx, rules), rules, on_bad, run, began)
+        wide = with_surrogates(df, ctx, rules, mapped=mapped)
         if rules and any(skipped.values()):
             left.append(preview.untreatable(df, ctx, rules).select(F.lit(table).alias("table"), "*"))
 
@@ -181,21 +183,25 @@ class Runner:
         return self._conclude(table, rules, empty, direction, run, counts, skipped, began)
 
     def _refused(self, table, wide, rules, on_bad, run, began):
-        """Untreatable values per column; their reasons are expressions, so no surrogate is computed."""
+        """Untreatable values per column, and the columns whose values repeat enough to
+        be treated once each. Reasons are expressions, so no surrogate is computed."""
         if not rules:
-            return {}
-        row = wide.agg(*[F.count(F.col(f"{r.column}__error")).alias(r.column) for r in rules],
-                       *[F.max(f"{r.column}__error").alias(f"{r.column}__why") for r in rules]).first()
+            return {}, set()
+        row = wide.agg(F.count(F.lit(1)).alias("__rows"),
+                       *[F.count(F.col(f"{r.column}__error")).alias(r.column) for r in rules],
+                       *[F.max(f"{r.column}__error").alias(f"{r.column}__why") for r in rules],
+                       *[F.approx_count_distinct(r.column).alias(f"{r.column}__distinct") for r in rules]).first()
         skipped = {r.column: row[r.column] for r in rules}
+        distinct = {r.column: row[f"{r.column}__distinct"] for r in rules}
         for rule in rules:
-            self.store.log_operation(run, table, rule.column, "checked", skipped=skipped[rule.column],
-                                     seconds=time.time() - began)
+            self.store.log_operation(run, table, rule.column, "checked", row["__rows"], distinct[rule.column],
+                                     skipped[rule.column], time.time() - began)
         bad = [c for c, n in skipped.items() if n]
         if bad and on_bad == "fail":
             self.store.log_operation(run, table, bad[0], "refused", error_class="UntreatableValue")
             raise UntreatableValue(f"{table}.{bad[0]}: {skipped[bad[0]]} rows hold untreatable values "
                                    f"(for example: {row[bad[0] + '__why']}); nothing was written")
-        return skipped
+        return skipped, {c for c, n in distinct.items() if n * REPEATS <= row["__rows"]}
 
     def _start(self, table, rules, empty, direction, run):
         rows = [(self.database, table, r.column, r.kind, r.effective_tweak, self.key.id(), direction,
