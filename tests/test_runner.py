@@ -5,8 +5,8 @@ from velario.key import Key
 from velario.operators import preview
 from velario.operators.pseudonymise import Rule, context
 from velario.plans import registry as R
-from velario.plans.runner import GateFailed, Runner, UntreatableValue
-from velario.sources.documents import POLICY_ROWS, load_policy, save_policy, save_report
+from velario.plans.runner import GateFailed, Report, Runner, UntreatableValue
+from velario.sources.documents import POLICY_ROWS, load_policy, policy_key_id, save_policy, save_report
 from velario.sources.store import TableStore
 from velario.sources.tables import Constraints
 
@@ -206,7 +206,11 @@ def test_policy_document_round_trip(spark, tmp_path):
     save_policy(policy, str(tmp_path / "policy"), KEY.id())
     back = load_policy(spark, str(tmp_path / "policy"))
     assert sorted(map(tuple, back.collect()), key=str) == sorted(POLICY, key=str)
-    save_report(policy, str(tmp_path / "report"))
+    assert policy_key_id(spark, str(tmp_path / "policy")) == KEY.id()
+    save_report(Report("cifra", "db", policy, policy.limit(1)), str(tmp_path / "report"))
+    saved = spark.read.json(str(tmp_path / "report" / "columns"))
+    assert saved.count() == len(POLICY) and {(r["direction"], r["database"]) for r in saved.collect()} == {("cifra", "db")}
+    assert spark.read.json(str(tmp_path / "report" / "untreatable")).count() == 1
     (tmp_path / "bad.json").write_text('{"formato": "x", "tabelle": {}}')
     with pytest.raises(ValueError, match="unknown format"):
         load_policy(spark, str(tmp_path / "bad.json"))

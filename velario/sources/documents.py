@@ -44,5 +44,14 @@ def save_policy(policy: DataFrame, path: str, key_id=None) -> None:
         "overwrite").text(path)
 
 
-def save_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").json(path)
+def policy_key_id(spark: SparkSession, path: str):
+    """The id of the key that a policy document was written for, or None."""
+    return spark.read.schema(_DOCUMENT).json(path, multiLine=True).select("chiave_id").first()["chiave_id"]
+
+
+def save_report(report, path: str) -> None:
+    """A run's report as two JSON folders: what was done to each column, with the
+    direction and the database, and every value that was left as it was."""
+    about = {"direction": F.lit(report.direction), "database": F.lit(report.database)}
+    report.columns.withColumns(about).write.mode("overwrite").json(f"{path}/columns")
+    report.untreatable.withColumns(about).write.mode("overwrite").json(f"{path}/untreatable")
