@@ -204,9 +204,12 @@ def ranges(starts, window) -> list:
 def _count_buckets(occurrences, window, bucket_strings) -> DataFrame:
     """``(digest, at)``: the words of each different packed string that repeated windows cover."""
     strings = occurrences.groupBy("m", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("packed").alias("packed"))
-    sizes = occurrences.groupBy("m").agg(F.count_distinct("digest").alias("strings"))
-    shared = strings.join(sizes, "m").withColumn(
-        "parts", F.ceil(F.col("strings") / bucket_strings).cast("int"))
+    # Large buckets are few; written out, Spark knows how few, and the strings need
+    # not travel to meet them.
+    large = saved(occurrences.groupBy("m").agg(F.count_distinct("digest").alias("strings"))
+                  .where(F.col("strings") > bucket_strings)
+                  .select("m", F.ceil(F.col("strings") / bucket_strings).cast("int").alias("parts")), "large_buckets")
+    shared = strings.join(large, "m", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def buckets(batches):
