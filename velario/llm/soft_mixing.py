@@ -2,13 +2,13 @@
 
 A classifier fitted on a labelled table gives each document posteriors over the
 domains. A domain's expected tokens are the sum over all documents of tokens times
-posterior times rate. Projected gradient steps find rates, none negative, whose
-expected totals meet the targets: weighted least squares in the relative errors,
-from rate 1 for all. In the metric of document sizes the gradient of a document is
-its posteriors times the domains' errors, and a step of length 1 is never too
-long, for each document's posteriors add up to 1. A step is one distributed sum
-per domain; the rates are a function of the posteriors and the errors so far, so
-the state that goes round is one number per domain and step.
+posterior times rate. Rates, none negative, are found whose expected totals meet the
+targets: weighted least squares in the relative errors, and of all that solve it the
+rates nearest to 1. Those are the projection onto the rates >= 0 of one gradient
+step from rate 1, with a step length for each domain: max(0, 1 - posteriors times
+lengths). The lengths are found by Newton steps with line search on the gradient at
+the rates they give; each is one distributed sum of a few numbers per pair of
+domains, and the state that goes round is one number per domain.
 
 Cases: a null or empty text has no token and no effect on totals, its posteriors
 being the domains' shares of the labels; labels without a document, with nulls, or
@@ -17,6 +17,7 @@ domains without labels are left out; without any label rates are 1; repeated row
 are documents of their own; an empty table gives no row.
 """
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from velario.llm.shared import column_bytes, ready, saved
 from velario.llm.word_encoder import encoder
 
+_LOG = logging.getLogger(__name__)
+
 TRAINING_ROWS = 20_000        # bound of the labelled rows that the classifier is fitted on
-STEPS = 30
-TOLERANCE = 1e-3              # error of a domain's share of all tokens at which steps end
-_IDLE = 4                     # steps that gain less than a tenth, after which none follow
+STEPS = 200                   # bound of distributed sums; some ten are usual
+TOLERANCE = 1e-3              # gradient at the returned rates, relative to a domain's target, at which steps end
+_NEAR_ONE = 1e-6              # weight of the rates' squared distance from 1 beside the squared errors
 SIGNALS = 256                 # tokens whose shares the classifier looks at
 _FITTING_STEPS = 200
 
@@ -214,8 +217,8 @@ def _columns(batch, domains):
 def solve(table: DataFrame, domains, targets, steps=STEPS, tolerance=TOLERANCE) -> list:
     """The ``steps`` for ``replay`` that lead to the wanted totals.
 
-    ``table`` has ``__tokens`` and a ``__p`` column for each domain. Steps have
-    momentum (Beck and Teboulle, 2009), which is dropped whenever errors grow.
+    ``table`` has ``__tokens`` and a ``__p`` column for each domain. The errors that
+    remain at the returned rates are logged; ending without convergence is a warning.
     """
     n = len(domains)
     wanted = np.array([max(float(targets.get(d, 0.0)), 0.0) for d in domains])
@@ -223,39 +226,56 @@ def solve(table: DataFrame, domains, targets, steps=STEPS, tolerance=TOLERANCE)
         return []
     wanted /= wanted.sum()
     narrow = table.select("__tokens", *[f"__p{d}" for d in range(n)])
+    names = ["tokens", "energy", *[f"t{d}" for d in range(n)], *[f"g{d}" for d in range(n * n)]]
 
-    def totals(taken):
+    def sums(lengths):
+        """All tokens; tokens times squared rate, halved; totals; their slopes."""
         def run(batches):
-            total = np.zeros(n)
+            total = np.zeros(len(names))
             for batch in batches:
-                p = _columns(batch, n)
-                total += (batch.column("__tokens").to_numpy() * replay(p, taken)[1]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"t{d}" for d in range(n)])
-
-        sums = narrow.mapInArrow(run, ", ".join(f"t{d} double" for d in range(n))).agg(
-            *[F.sum(f"t{d}") for d in range(n)]).first()
-        return np.array([float(v or 0) for v in sums])
-
-    now = totals([])
-    everything = now.sum()
+                p, tokens = _columns(batch, n), batch.column("__tokens").to_numpy().astype(np.float64)
+                rate = replay(p, [(lengths, 0.0)])[0]
+                slopes = p.T @ (p * (tokens * (rate > 0))[:, None])
+                total += np.concatenate(([tokens.sum(), tokens @ rate ** 2 / 2], (tokens * rate) @ p, slopes.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+
+        found = narrow.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+        return np.array([float(v or 0) for v in found])
+
+    def measured(lengths):
+        """The convex function whose lowest point gives the lengths, its gradient, slopes and totals."""
+        found = sums(lengths.tolist())[1:] / everything
+        total, slopes = found[1:n + 1], found[n + 1:].reshape(n, n)
+        pull = _NEAR_ONE * present * lengths
+        return found[0] + wanted @ lengths + pull @ lengths / 2, wanted - total + pull, slopes, total
+
+    start = sums([0.0] * n)
+    everything = start[0]
     if not everything:
         return []
-    present = np.maximum(now / everything, 1e-9)
-    taken, fast, last, best, idle = [], 1.0, np.inf, np.inf, 0
-    for _ in range(steps):
-        error = now / everything - wanted
-        size = float((error ** 2 / present).sum())
-        idle = 0 if size < 0.9 * best else idle + 1
-        best = min(best, size)
-        if np.abs(error).max() <= tolerance or idle == _IDLE:
+    present = np.maximum(start[2:n + 2] / everything, 1e-9)
+    lengths = np.zeros(n)
+    value, gradient, slopes, total = measured(lengths)
+    left, done = steps, False
+    while left > 0:
+        done = bool((np.abs(gradient) <= tolerance * np.maximum(wanted, 1e-3)).all())
+        if done:
+            break
+        way = -np.linalg.solve(slopes + _NEAR_ONE * np.diag(present) + 1e-15 * np.eye(n), gradient)
+        pace = 1.0
+        while left > 0:
+            found, left = measured(lengths + pace * way), left - 1
+            if found[0] <= value + 1e-4 * pace * (gradient @ way) + 1e-14 * abs(value):
+                break
+            pace /= 2
+        else:
             break
-        if size > last:
-            fast = 1.0
-        grown = (1 + np.sqrt(1 + 4 * fast ** 2)) / 2
-        taken = taken + [((error / present).tolist(), (fast - 1) / grown)]
-        fast, last = grown, size
-        now = totals(taken)
-    return taken
+        lengths = lengths + pace * way
+        value, gradient, slopes, total = found
+    errors = ", ".join(f"{d} {t:.5f} for {w:.5f}" for d, t, w in zip(domains, total, wanted))
+    _LOG.log(logging.INFO if done else logging.WARNING, "shares of tokens after %d sums%s: %s", steps - left,
+             "" if done else ", not converged", errors)
+    return [(lengths.tolist(), 0.0)]
 
 
 def with_rates(table: DataFrame, domains, taken) -> DataFrame:
