@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from velario.llm import soft_mixing
 
 
@@ -31,3 +33,26 @@ def test_unattainable_targets_give_least_squares(spark):
     present = n @ p / n.sum()
     slope = p @ (((n * rate) @ p / n.sum() - [0.9, 0.1]) / present)
     assert (rate >= 0).all() and slope.min() > -1e-3 and np.abs(slope * rate).max() < 1e-2
+
+
+def test_drawn_tokens_meet_the_targets(spark, monkeypatch):
+    """The pipeline's stage on documents surely of one domain, in the shares of the labels."""
+    targets, shares = soft_mixing.TARGETS, {"q1t0": 0.75, "q0t0": 0.12, "q1t1": 0.11, "q0t1": 0.02}
+    n = 40_000
+    bounds = np.cumsum(list(shares.values()))
+    table = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    domain = F.lit(None).cast("string")
+    for name, high in reversed(list(zip(shares, bounds.tolist()))):
+        domain = F.when(F.col("doc_id") < round(high * n), name).otherwise(domain)
+    rate = F.lit(None).cast("double")
+    for name in shares:
+        rate = F.when(F.col("domain") == name, targets[name] / shares[name]).otherwise(rate)
+    mixed = table.withColumn("domain", domain).withColumn("rate", rate)
+    monkeypatch.setattr(soft_mixing, "label_domains", lambda labels: labels)
+    monkeypatch.setattr(soft_mixing, "mix", lambda docs, labels: mixed)
+    drawn = corpus_pipeline.mixing(spark, mixed, "/root/testdata/sf0.001")
+    found = {r["domain"]: r["n"] / n for r in drawn.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for name, share in targets.items():
+        assert found.get(name, 0) == pytest.approx(share, abs=0.003)
+    times = drawn.groupBy("doc_id", "domain").count().where("domain = 'q1t0'").agg(F.max("count")).first()[0]
+    assert times == 2

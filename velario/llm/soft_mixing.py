@@ -320,3 +320,13 @@ def take(mixed: DataFrame, columns) -> DataFrame:
     """Each document as often as its rate says, to the nearest whole number."""
     times = F.floor(F.col("rate") + 0.5).cast("int")
     return mixed.where(times > 0).withColumn("__time", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+
+
+def draw(mixed: DataFrame, columns) -> DataFrame:
+    """Each document as often as its rate says, in expectation: the whole part of the
+    rate, and once more where a hash of ``doc_id`` and ``text`` falls below the rest."""
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+    whole = F.floor("rate")
+    times = (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    return mixed.withColumn("__times", times).where("__times > 0").withColumn(
+        "__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
