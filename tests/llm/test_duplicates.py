@@ -91,12 +91,37 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.columns == docs(spark).columns
     found = [r["doc_id"] for r in kept.collect()]
     groups = simhash_trees.near_groups(docs(spark)).collect()
-    assert sorted(found, key=str) == sorted({r["component_id"] for r in groups}, key=str)
+    one_each = {r["root"]: r["component_id"] for r in groups}        # unlike texts with one id are two groups
+    assert sorted(found, key=str) == sorted(one_each.values(), key=str) and found.count(14) == 2
     assert simhash_trees.keep_one(docs(spark, [])).count() == 0
     lonely = simhash_trees.keep_one(docs(spark, [(None, "a b c d e"), (None, "a b c d e"), (None, "quite other words here now")]))
     assert lonely.count() == 2
 
 
+def test_large_shards_are_dealt_again(spark):
+    """One band value holds ten times the limit: no shard may stay above it, and no link may go."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    prints = {(rng.getrandbits(64) & ~0xFFF) | (base & 0xFFF) for _ in range(600)}
+    for p in list(prints)[:200]:
+        for b in rng.sample(range(64), 3):
+            p ^= 1 << b
+        prints.add(p)
+    signed = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp bigint")
+    sizes = [r["count"] for r in simhash_trees.shards(signed, shard_limit=60).groupBy("band", "value", "slice").count().collect()]
+    assert max(sizes) <= 60
+    found = {r["node"] for r in components(simhash_trees.links(signed, shard_limit=60)).collect()}
+    expected = groups_of(prints, 4)
+    assert len(found) == len(prints) - len(set(expected.values()))
+
+
+def test_windows_of_a_large_bucket_are_dealt(spark):
+    """A six-word line in many surroundings: one minimiser, a bucket far above the limit."""
+    line = "lorem ipsum dolor sit amet elit"
+    pairs = [(i, " ".join(words(40, 500 + i % 90)) + f" {line} " + " ".join(words(40, 900 + i % 45))) for i in range(180)]
+    assert bag(superkmers.remove_repeats(docs(spark, pairs), bucket_strings=9).collect()) == bag(plain_removal(pairs, 35))
+
+
 def plain_removal(pairs, window):
     texts = [WORD.findall(t or "") for _, t in pairs]
     seen = Counter(tuple(w[k:k + window]) for w in texts for k in range(len(w) - window + 1))

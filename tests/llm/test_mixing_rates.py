@@ -47,12 +47,13 @@ def test_drawn_tokens_meet_the_targets(spark, monkeypatch):
     rate = F.lit(None).cast("double")
     for name in shares:
         rate = F.when(F.col("domain") == name, targets[name] / shares[name]).otherwise(rate)
-    mixed = table.withColumn("domain", domain).withColumn("rate", rate)
+    mixed = table.withColumn("domain", domain).withColumn("fitted", rate).withColumn("rate", F.lit("own"))
     monkeypatch.setattr(soft_mixing, "label_domains", lambda labels: labels)
-    monkeypatch.setattr(soft_mixing, "mix", lambda docs, labels: mixed)
+    monkeypatch.setattr(soft_mixing, "mix", lambda docs, labels: docs.withColumn("rate", F.col("own3")))
     drawn = corpus_pipeline.mixing(spark, mixed, "/root/testdata/sf0.001")
     found = {r["domain"]: r["n"] / n for r in drawn.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     for name, share in targets.items():
         assert found.get(name, 0) == pytest.approx(share, abs=0.003)
+    assert drawn.columns == mixed.columns and drawn.select("rate").distinct().collect() == [("own",)]
     times = drawn.groupBy("doc_id", "domain").count().where("domain = 'q1t0'").agg(F.max("count")).first()[0]
     assert times == 2

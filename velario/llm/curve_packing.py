@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from velario.llm.shared import column_bytes, ready, rows_of, saved, texts
+from velario.llm.shared import column_bytes, ready, rows_of, saved, small, texts
 from velario.llm.word_encoder import encoder
 
 LENGTH = 2048
@@ -37,12 +37,15 @@ def _projection():
     return np.random.default_rng(20).standard_normal((SLOTS, DIMENSIONS)).astype(np.float32)
 
 
-def place(ids: np.ndarray) -> np.ndarray:
-    """A document's point: each coordinate in [0, 2**BITS)."""
-    hashed = (ids.astype(np.uint32) * np.uint32(2_654_435_761)) >> np.uint32(22)
-    vector = np.log1p(np.bincount(hashed, minlength=SLOTS)).astype(np.float32)
-    point = vector @ _projection() / (np.linalg.norm(vector) + 1e-9)
-    return np.minimum((1 << BITS) / (1 + np.exp(-1.7 * point)), (1 << BITS) - 1).astype(np.int64)
+def places(ids: list) -> np.ndarray:
+    """The points of some documents, given their ids: each coordinate in [0, 2**BITS)."""
+    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    hashed = (np.concatenate(ids).astype(np.uint32) * np.uint32(2_654_435_761)) >> np.uint32(22)
+    counts = np.bincount(row * SLOTS + hashed, minlength=len(ids) * SLOTS).reshape(-1, SLOTS)
+    vectors = np.log1p(counts.astype(np.float32))
+    # one row after another: a point must not depend on the batch its document came in
+    points = np.stack([v @ _projection() for v in vectors]) / (np.sqrt(np.square(vectors).sum(1, keepdims=True)) + 1e-9)
+    return np.minimum((1 << BITS) / (1 + np.exp(-1.7 * points)), (1 << BITS) - 1).astype(np.int64)
 
 
 def hilbert(points: np.ndarray, bits=BITS) -> np.ndarray:
@@ -78,10 +81,9 @@ def _encoded(docs, tokenizer, end_id) -> DataFrame:
     def run(batches):
         coder = encoder(tokenizer)
         end = np.array([end_id], coder.dtype).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             ids = [piece + end for piece in coder.encode_many(column_bytes(batch, "text"))]
-            points = [place(np.frombuffer(i, coder.dtype)) for i in ids]
-            keys = hilbert(np.stack(points)) if points else np.empty(0, np.int64)
+            keys = hilbert(places([np.frombuffer(i, coder.dtype) for i in ids])) if ids else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())],
                                              names=["doc_id", "place", "ids"])
 
@@ -156,7 +158,7 @@ def pack(docs: DataFrame, length=LENGTH, tokenizer="word_bpe_49k.json", end_id=1
                     out[name].append(value)
             return rows_of(out, schema)
 
-        for batch in batches:
+        for batch in small(batches):
             pieces = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 ids = np.frombuffer(ids.as_buffer(), dtype)

@@ -15,10 +15,9 @@ are ``SLOTS``.
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is all
 when nothing is labelled. One language alone always wins with score 1. Repeated
 rows are as many examples; an empty table gives no row; other columns than those
-named in the call are not read.
+named in the call are not read; a text of any length is read whole.
 """
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velario.llm.shared import ready
+from velario.llm.shared import ready, small
 
 SLOTS = 1 << 13
 CALIBRATION_ROWS = 5_000      # bound of the sample that places thresholds and weighs bits
 UNKNOWN = "und"
 _AMBIGUOUS = 0.1              # share of the weights by which the second codeword must be farther
 
-_LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters and the bytes of other characters stay, all else is one gap
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -49,7 +47,8 @@ def slots(text: str) -> np.ndarray:
 
 
 def has_letter(text) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Letters are Unicode's; digits, fractions and Roman numerals are numbers."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 def codewords(n: int) -> np.ndarray:
@@ -117,7 +116,7 @@ def train(examples: DataFrame, calibration_rows=CALIBRATION_ROWS) -> Model:
 
     def sums(batches):
         total, n = {}, {}
-        for batch in batches:
+        for batch in small(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 if has_letter(text):
                     counts = slots(text)
@@ -157,7 +156,7 @@ def _calibrated(model, known, rows, calibration_rows) -> Model:
     bits = model.code.shape[1]
 
     def margins(batches):
-        for batch in batches:
+        for batch in small(batches):
             pairs = [(t, place[c]) for t, c in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
                      if has_letter(t) and c in place]
             if pairs:
@@ -189,7 +188,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)        # languages x slots numbers
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([f[0] for f in found]), pa.array([f[1] for f in found]),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velario.llm.shared import column_bytes, ready, rows_of, texts
+from velario.llm.shared import column_bytes, ready, rows_of, small, texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -131,7 +131,7 @@ def measure(docs: DataFrame, rules=RULES, sample_rows=SAMPLE_ROWS) -> list:
 
     def run(batches):
         spent, hits, seen = [0.0] * len(rules), [0] * len(rules), 0
-        for batch in batches:
+        for batch in small(batches):
             for text in column_bytes(batch, "text"):
                 seen += 1
                 for i, rule in enumerate(rules):
@@ -179,7 +179,7 @@ def _judge(source, carried, rules, counts, ordered):
 
     def run(batches):
         base = [r for r in rules if r.base]
-        for batch in batches:
+        for batch in small(batches):
             out = {n: [] for n in [*extra, "kept", "rejected_by"]}
             for text in column_bytes(batch, "text"):
                 page = Page(text)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from velario.session import ship_package
 
-# Documents in one Arrow batch: bounds a Python worker's memory when texts are long.
+# Documents that a Python worker treats at once. Spark bounds the bytes of an Arrow
+# batch; this bounds what is made of them.
 BATCH_ROWS = 256
 
 
@@ -16,14 +17,20 @@ def ready(spark: SparkSession) -> str:
     """Prepare a session for Python stages; the shared folder for saved tables.
 
     The folder is ``spark.checkpoint.dir``. Only a session without that setting
-    (tests on one machine) uses a folder beside its warehouse instead.
+    (tests on one machine) uses a folder beside its warehouse instead. No setting of
+    the session is changed.
     """
     ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return shared_folder(spark)
 
 
+def small(batches):
+    """Arrow batches in slices of at most ``BATCH_ROWS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:

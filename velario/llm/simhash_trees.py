@@ -13,12 +13,15 @@ forest (a fingerprint and the root of its group within the shard), never pairs.
 
 The trees are not sent out as broadcasts: they hold every fingerprint, and a
 broadcast passes through the driver. Each tree is built where its shard lies. A
-shard above ``shard_limit`` is searched by several tasks, each of which builds
-the tree and takes a slice of the queries.
+shard above ``shard_limit`` is dealt again, by bands of the bits that its keys may
+still differ in: two keys within the radius agree on one of these as well. So shards
+shrink as the corpus grows, and the trees stay small. Only what is still too large
+after ``DEPTH`` deals is searched by several tasks that each build the tree.
 
 Cases: a null, empty or blank text has fingerprint zero and is linked like any
 other; rows without ``doc_id`` are linked too, and a group without any id has no
-component id; repeated rows give a row each; an empty table gives no row.
+component id; repeated rows give a row each; an empty table gives no row; a text of
+any length is read whole, its shingles in parts.
 """
 
 import numpy as np
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velario.llm.components import components
-from velario.llm.shared import column_bytes, ready, saved, texts
+from velario.llm.shared import column_bytes, ready, row_key, saved, small, texts
 
 RADIUS = 4
 SHINGLE = 4
 SHARD_LIMIT = 20_000
+DEPTH = 3                    # times that a shard is dealt by bands
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -57,22 +61,35 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``, fp as the signed 64-bit integer of the same bits."""
+    """``(doc_id, key_id, key_hash, fp)``, fp as the signed 64-bit integer of the same bits."""
     ready(docs.sparkSession)
+    keys = ["doc_id", "key_id", "key_hash"]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([fingerprint(t) for t in column_bytes(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(fps)], names=[*keys, "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, fp bigint")
+    return row_key(texts(docs)).select(*keys, "text").mapInArrow(
+        run, "doc_id bigint, key_id bigint, key_hash bigint, fp bigint")
 
 
-def bands(radius: int):
-    """(shift, mask) of ``radius + 1`` bands that cover the 64 bits."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
+def masks(radius: int, depth: int) -> list:
+    """For each depth, the bits on which the keys of a shard agree, by its number.
+
+    The shard numbered k at one depth is dealt to those numbered k * (radius + 1)
+    and following at the next. Each mask is a signed 64-bit integer.
+    """
+    n, found = radius + 1, [[0]]
+    for _ in range(depth):
+        level = []
+        for mask in found[-1]:
+            open_ = [b for b in range(64) if not mask >> b & 1]
+            for i in range(n):
+                part = open_[len(open_) * i // n:len(open_) * (i + 1) // n]
+                level.append(mask | sum(1 << b for b in part))
+        found.append(level)
+    return [[m - (1 << 64) if m >> 63 else m for m in level] for level in found[1:]]
 
 
 class BKTree:
@@ -135,18 +152,39 @@ def _forest(keys, a, b):
     return keys[moved], keys[parent[moved]]
 
 
+def shards(fps: DataFrame, radius=RADIUS, shard_limit=SHARD_LIMIT) -> DataFrame:
+    """``(band, value, slice, fp)``: every two keys within the radius meet in a shard.
+
+    ``fps(fp)`` are distinct. Shards of one key are left out.
+    """
+    n, out, open_ = radius + 1, [], fps.select(F.lit(0).alias("band"), "fp")
+    for depth, level in enumerate(masks(radius, DEPTH), 1):
+        table = F.array(*[F.lit(m) for m in level])
+        dealt = open_.select(F.explode(F.sequence(F.col("band") * n, F.col("band") * n + n - 1)).alias("band"), "fp")
+        dealt = dealt.select("band", F.col("fp").bitwiseAND(F.element_at(table, F.col("band") + 1)).alias("value"), "fp")
+        # few rows next to the keys, and written out Spark knows how few
+        sizes = saved(dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard_sizes")
+        last = depth == DEPTH or sizes.where(F.col("n") > shard_limit).isEmpty()
+        whole = sizes if last else sizes.where(F.col("n") <= shard_limit)
+        parts = F.ceil(F.col("n") / shard_limit).cast("int")
+        out.append(dealt.join(whole.select("band", "value", parts.alias("parts")), ["band", "value"]).select(
+            (F.lit(depth * n ** DEPTH) + F.col("band")).alias("band"), "value",
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "fp"))
+        if last:
+            break
+        hot = sizes.where(F.col("n") > shard_limit).select("band", "value")
+        open_ = saved(dealt.join(hot, ["band", "value"]).select("band", "fp"), "large_shards")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def links(fps: DataFrame, radius=RADIUS, shard_limit=SHARD_LIMIT) -> DataFrame:
     """``(a, b)``: a forest that connects what links within the radius connect.
 
     ``fps(fp)`` are distinct.
     """
-    marks = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("value"))
-                      for i, (s, m) in enumerate(bands(radius))])
-    dealt = fps.select("fp", F.inline(marks).alias("band", "value"))
-    sizes = dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slices = dealt.join(sizes, ["band", "value"]).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard_limit).cast("int"))))
-
     def search(batches):
         for slice_, keys in _shards(batches):
             a, b = _search(keys, slice_, radius, shard_limit)
@@ -154,7 +192,7 @@ def links(fps: DataFrame, radius=RADIUS, shard_limit=SHARD_LIMIT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     shard = ["band", "value", "slice"]
-    return (slices.select(*shard, "fp").repartition(*shard).sortWithinPartitions(*shard, "fp")
+    return (shards(fps, radius, shard_limit).repartition(*shard).sortWithinPartitions(*shard, "fp")
             .mapInArrow(search, "a bigint, b bigint"))
 
 
@@ -190,16 +228,21 @@ def _search(keys, slice_, radius, shard_limit):
     return _forest(keys, own[q], turn[k])
 
 
-def near_groups(docs: DataFrame, radius=RADIUS, shard_limit=SHARD_LIMIT) -> DataFrame:
-    """``(doc_id, fp, root, component_id)`` of each row: its group's smallest
-    fingerprint, and the smallest id in the group."""
+def _groups(docs: DataFrame, radius, shard_limit) -> tuple:
+    """The rows ``(doc_id, key_id, key_hash, fp)``, and ``(fp, root, component_id)``."""
     marked = saved(fingerprints(docs), "fingerprints")
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "fingerprint_ids")
     roots = components(links(distinct.select("fp"), radius, shard_limit), "fingerprint_groups")
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "low_id")
     ids = grouped.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    named = grouped.join(ids, "root").select("fp", "root", "component_id")
+    return marked, grouped.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, radius=RADIUS, shard_limit=SHARD_LIMIT) -> DataFrame:
+    """``(doc_id, fp, root, component_id)`` of each row: its group's smallest
+    fingerprint, and the smallest id in the group."""
+    marked, named = _groups(docs, radius, shard_limit)
     return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
@@ -211,29 +254,15 @@ def hex16(fp):
 def keep_one(docs: DataFrame, radius=RADIUS) -> DataFrame:
     """One row of each group: that of its smallest ``doc_id``, other columns kept.
 
-    Repeated rows of that id count as copies; of a group without ids one row stays.
+    Rows of one ``doc_id`` and text count as one; rows with one ``doc_id`` and other
+    texts are documents of their own. Rows without ``doc_id`` come last in a group.
     """
-    groups = near_groups(docs, radius)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__kept")).dropDuplicates(["__kept"])
-    unnamed = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("__kept"))
-    others = _with_fingerprint(docs.where("doc_id is null")).join(unnamed, "__kept").dropDuplicates(["__kept"])
-    return known.select(docs.columns).unionByName(others.select(docs.columns))
-
-
-def _with_fingerprint(docs):
-    """``docs`` with the column ``__kept``, the fingerprint."""
+    marked, named = _groups(docs, radius, SHARD_LIMIT)
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key_id", "key_hash")
+    kept = marked.join(named, "fp").groupBy("root").agg(F.min(row).alias("row")).select("row.key_id", "row.key_hash")
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    place = f"c{names.index('text')}"
-    source = plain.withColumn("text", F.coalesce(F.col(place).cast("string"), F.lit("")))
-    columns = plain.columns
-
-    def run(batches):
-        for batch in batches:
-            fps = np.array([fingerprint(t) for t in column_bytes(batch, "text")], np.uint64).view(np.int64)
-            own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays(own + [pa.array(fps)], names=[*columns, "__kept"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields] + ["__kept bigint"]
-    return source.mapInArrow(run, ", ".join(fields)).toDF(*names, "__kept")
+    own = row_key(plain.withColumns({"doc_id": F.col(f"c{names.index('doc_id')}").cast("bigint"),
+                                     "text": F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit(""))}))
+    return (own.join(kept, ["key_id", "key_hash"], "left_semi").dropDuplicates(["key_id", "key_hash"])
+            .select(plain.columns).toDF(*names))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velario.llm.shared import column_bytes, ready, saved
+from velario.llm.shared import column_bytes, ready, saved, small
 from velario.llm.word_encoder import encoder
 
 _LOG = logging.getLogger(__name__)
@@ -55,14 +55,19 @@ class Classifier:
     weights: np.ndarray
     bias: np.ndarray
 
-    def features(self, ids: np.ndarray) -> np.ndarray:
-        n = len(self.scale)
-        return np.sqrt(np.bincount(self.slot[ids], minlength=n + 1)[:n] / max(len(ids), 1)) * self.scale
+    def features(self, ids: list) -> np.ndarray:
+        """A row for each document, given their ids."""
+        n, lengths = len(self.scale), [len(i) for i in ids]
+        slots = np.repeat(np.arange(len(ids)) * (n + 1), lengths) + self.slot[np.concatenate(ids)]
+        counts = np.bincount(slots, minlength=len(ids) * (n + 1)).reshape(-1, n + 1)[:, :n]
+        return np.sqrt(counts / np.maximum(lengths, 1)[:, None]) * self.scale
 
-    def posteriors(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids) or not self.domains:
-            return self.shares
-        return softmax(self.features(ids) @ self.weights + self.bias)
+    def posteriors(self, ids: list) -> np.ndarray:
+        if not ids or not self.domains:
+            return np.zeros((len(ids), len(self.domains)))
+        p = softmax(self.features(ids) @ self.weights + self.bias)
+        p[[not len(i) for i in ids]] = self.shares
+        return p
 
 
 def softmax(score: np.ndarray) -> np.ndarray:
@@ -91,6 +96,7 @@ def fit(docs: DataFrame, domains: DataFrame, tokenizer="word_bpe_49k.json", trai
     labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                            F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
 
+    labelled = saved(_encoded(labelled, tokenizer), "labelled_ids")
     table = _token_shares(labelled, tokenizer).toPandas()          # domains x tokens of the vocabulary
     names = sorted(table["domain"].unique().tolist())
     size = encoder(tokenizer).size
@@ -110,16 +116,31 @@ def fit(docs: DataFrame, domains: DataFrame, tokenizer="word_bpe_49k.json", trai
     return _regress(model, _feature_rows(labelled, model, tokenizer).toPandas())   # at most the bounded sample
 
 
+def _encoded(labelled, tokenizer) -> DataFrame:
+    """``(domain, ids)``: ids as bytes."""
+    def run(batches):
+        coder = encoder(tokenizer)
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("domain"), pa.array(coder.encode_many(column_bytes(batch, "text")), pa.binary())],
+                names=["domain", "ids"])
+
+    return labelled.select("domain", "text").mapInArrow(run, "domain string, ids binary")
+
+
+def _ids(batch, dtype) -> list:
+    return [np.frombuffer(i, dtype) for i in column_bytes(batch, "ids")]
+
+
 def _token_shares(labelled, tokenizer) -> DataFrame:
     """``(domain, token, share, square)``: sums of the square roots of tokens' shares and
     of the shares, by domain; in place of a token, its vocabulary's size counts documents."""
     def run(batches):
         coder, sums = encoder(tokenizer), {}
-        for batch in batches:
-            found = coder.encode_many(column_bytes(batch, "text"))
-            for domain, ids in zip(batch.column("domain").to_pylist(), found):
+        for batch in small(batches):
+            for domain, ids in zip(batch.column("domain").to_pylist(), _ids(batch, coder.dtype)):
                 one = sums.setdefault(domain, np.zeros((2, coder.size + 1)))
-                token, n = np.unique(np.frombuffer(ids, coder.dtype), return_counts=True)
+                token, n = np.unique(ids, return_counts=True)
                 share = n / max(n.sum(), 1)
                 one[0, token] += np.sqrt(share)
                 one[1, token] += share
@@ -129,7 +150,7 @@ def _token_shares(labelled, tokenizer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([domain] * len(some)), pa.array(some), pa.array(share[some]),
                                               pa.array(square[some])], names=["domain", "token", "share", "square"])
 
-    each = labelled.select("domain", "text").mapInArrow(run, "domain string, token bigint, share double, square double")
+    each = labelled.mapInArrow(run, "domain string, token bigint, share double, square double")
     return each.groupBy("domain", "token").agg(F.sum("share").alias("share"), F.sum("square").alias("square"))
 
 
@@ -148,14 +169,15 @@ def _feature_rows(labelled, model, tokenizer) -> DataFrame:
     place = {d: i for i, d in enumerate(model.domains)}
 
     def run(batches):
-        coder = encoder(tokenizer)
-        for batch in batches:
-            found = coder.encode_many(column_bytes(batch, "text"))
-            rows = [model.features(np.frombuffer(i, coder.dtype)).astype("<f4").tobytes() for i in found]
-            yield pa.RecordBatch.from_arrays([pa.array([place[d] for d in batch.column("domain").to_pylist()], pa.int32()),
-                                              pa.array(rows, pa.binary())], names=["d", "x"])
+        dtype = encoder(tokenizer).dtype
+        for batch in small(batches):
+            if batch.num_rows:
+                rows = model.features(_ids(batch, dtype)).astype("<f4")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place[d] for d in batch.column("domain").to_pylist()], pa.int32()),
+                     pa.array([r.tobytes() for r in rows], pa.binary())], names=["d", "x"])
 
-    return labelled.select("domain", "text").mapInArrow(run, "d int, x binary")
+    return labelled.mapInArrow(run, "d int, x binary")
 
 
 def _regress(model, rows) -> Classifier:
@@ -186,9 +208,9 @@ def memberships(docs: DataFrame, model: Classifier, tokenizer="word_bpe_49k.json
 
     def run(batches):
         coder, model = encoder(tokenizer), shared.value
-        for batch in batches:
+        for batch in small(batches):
             ids = [np.frombuffer(i, coder.dtype) for i in coder.encode_many(column_bytes(batch, "__text"))]
-            p = np.array([model.posteriors(i) for i in ids]).reshape(len(ids), len(model.domains))
+            p = model.posteriors(ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in columns]
                 + [pa.array([len(i) for i in ids], pa.int64())]
@@ -316,12 +338,6 @@ def mix(docs: DataFrame, domains: DataFrame, targets=None, tokenizer="word_bpe_4
                         best["p"].alias("posterior"), F.col("__rate").alias("rate"))
 
 
-def take(mixed: DataFrame, columns) -> DataFrame:
-    """Each document as often as its rate says, to the nearest whole number."""
-    times = F.floor(F.col("rate") + 0.5).cast("int")
-    return mixed.where(times > 0).withColumn("__time", F.explode(F.sequence(F.lit(1), times))).select(*columns)
-
-
 def draw(mixed: DataFrame, columns) -> DataFrame:
     """Each document as often as its rate says, in expectation: the whole part of the
     rate, and once more where a hash of ``doc_id`` and ``text`` falls below the rest."""

@@ -9,14 +9,15 @@ where the windows of sorted strings are counted, by their words and not by a has
 Only what can repeat travels. First the minimisers alone are counted: a window can
 occur twice only if its minimiser does. Then packed strings are cut for those
 alone, and equal strings are counted before the shuffle, so a passage copied a
-million times reaches its bucket once, with its count. A bucket with more than
-``bucket_strings`` different strings is shared by several tasks: each reads the
-bucket's strings and counts the windows that fall to it.
+million times reaches its bucket once, with its count. The windows of a bucket with
+more than ``bucket_strings`` different strings are dealt by a 128-bit digest of their
+words: equal windows are added up before they travel, and no task holds the bucket.
 
 Cases: a null or empty text has no words; each row is a document, so a row and its
 repetition are copies of each other; rows without ``doc_id`` are kept apart by
 their text; texts shorter than a window keep all words; an empty table gives no
-row; other columns are not read.
+row; other columns are not read; a text of any length is read whole, its strings go
+out in parts.
 """
 
 import hashlib
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velario.llm.shared import column_bytes, ready, row_key, rows_of, saved, texts
+from velario.llm.shared import column_bytes, ready, row_key, rows_of, saved, small, texts
 
 WINDOW = 35
 SEED_WORDS = 6
@@ -109,7 +110,7 @@ def super_kmers(words, window=WINDOW, seed=SEED_WORDS):
 def _met_twice(source, window, seed) -> DataFrame:
     """``(key_id, key_hash, met)``: minimisers of a document that occur twice or more."""
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [minimiser_places(t.split(), window, seed) for t in column_bytes(batch, "text")]
             sizes = np.array([len(f) for f in found])
             some = np.flatnonzero(sizes)
@@ -135,7 +136,7 @@ _PACKED = pa.schema([("key_id", pa.int64()), ("key_hash", pa.int64()), ("m", pa.
 def _packed(source, met, window, seed) -> DataFrame:
     """The super-k-mers of shared minimisers as packed strings, with their places."""
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = {f.name: [] for f in _PACKED}
             size = 0
             mets = batch.column("met")
@@ -166,16 +167,12 @@ def _windows(packed: bytes, window):
     return [b" ".join(words[i:i + window]) for i in range(len(words) - window + 1)]
 
 
-def repeated_in_bucket(strings, counts, window, part=0, parts=1):
+def repeated_in_bucket(strings, counts, window):
     """For each packed string, the windows (by place) that occur twice or more in the bucket.
 
     Equal windows are brought together by sorting all windows of the strings.
     """
-    found = []
-    for i, packed in enumerate(strings):
-        for at, w in enumerate(_windows(packed, window)):
-            if parts == 1 or xxhash.xxh64_intdigest(w, 1) % parts == part:
-                found.append((w, i, at))
+    found = [(w, i, at) for i, packed in enumerate(strings) for at, w in enumerate(_windows(packed, window))]
     found.sort()
     out = [[] for _ in strings]
     i = 0
@@ -201,47 +198,76 @@ def ranges(starts, window) -> list:
     return out
 
 
+_REPEATS = pa.schema([("digest", pa.binary()), ("at", pa.list_(pa.int32()))])
+
+
 def _count_buckets(occurrences, window, bucket_strings) -> DataFrame:
     """``(digest, at)``: the words of each different packed string that repeated windows cover."""
     strings = occurrences.groupBy("m", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("packed").alias("packed"))
     # Large buckets are few; written out, Spark knows how few, and the strings need
     # not travel to meet them.
     large = saved(occurrences.groupBy("m").agg(F.count_distinct("digest").alias("strings"))
-                  .where(F.col("strings") > bucket_strings)
-                  .select("m", F.ceil(F.col("strings") / bucket_strings).cast("int").alias("parts")), "large_buckets")
-    shared = strings.join(large, "m", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def buckets(batches):
-        current, rows = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("m", "part", "parts", "digest", "n", "packed"))):
-                if row[:2] != current and rows:
-                    yield rows
-                    rows = []
-                current = row[:2]
-                rows.append(row)
-        if rows:
-            yield rows
+                  .where(F.col("strings") > bucket_strings).select("m"), "large_buckets")
 
     def run(batches):
-        digests, places = [], []
-        for rows in buckets(batches):
-            found = repeated_in_bucket([r[5] for r in rows], [r[4] for r in rows], window, rows[0][1], rows[0][2])
+        out = {f.name: [] for f in _REPEATS}
+        for rows in _buckets(batches):
+            found = repeated_in_bucket([r[3] for r in rows], [r[2] for r in rows], window)
             for r, at in zip(rows, found):
                 if at:
-                    digests.append(r[3])
-                    places.append(ranges(at, window))
-            if len(digests) > 2_000:
-                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(places, pa.list_(pa.int32()))],
-                                                 names=["digest", "at"])
-                digests, places = [], []
-        if digests:
-            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(places, pa.list_(pa.int32()))],
-                                             names=["digest", "at"])
+                    out["digest"].append(r[1])
+                    out["at"].append(ranges(at, window))
+            if len(out["at"]) > 2_000:
+                yield rows_of(out, _REPEATS)
+                out = {f.name: [] for f in _REPEATS}
+        yield rows_of(out, _REPEATS)
+
+    small_ones = (strings.join(large, "m", "left_anti").select("m", "digest", "n", "packed").repartition("m")
+                  .sortWithinPartitions("m", "packed").mapInArrow(run, "digest binary, at array<int>"))
+    if large.isEmpty():
+        return small_ones
+    return small_ones.unionByName(_deal_windows(strings.join(large, "m", "left_semi"), window))
+
+
+def _buckets(batches):
+    """The rows of each bucket of a partition sorted by ``m``."""
+    current, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(n).to_pylist() for n in ("m", "digest", "n", "packed"))):
+            if row[0] != current and rows:
+                yield rows
+                rows = []
+            current = row[0]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _deal_windows(strings, window) -> DataFrame:
+    """The same for the strings of large buckets, each window counted by itself."""
+    schema = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("place", pa.int32()), ("window", pa.binary())])
+
+    def cut(batches):
+        for batch in small(batches):
+            out = {f.name: [] for f in schema}
+            for digest, n, packed in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "packed"))):
+                for at, w in enumerate(_windows(packed, window)):
+                    for name, value in zip(out, (digest, n, at, hashlib.blake2b(w, digest_size=16).digest())):
+                        out[name].append(value)
+            yield rows_of(out, schema)
+
+    dealt = saved(strings.select("digest", "n", "packed").mapInArrow(
+        cut, "digest binary, n bigint, place int, window binary"), "dealt_windows")
+    often = dealt.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    hits = dealt.join(often, "window", "left_semi").groupBy("digest").agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+    def join(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("digest"), pa.array([ranges(p, window) for p in batch.column("places").to_pylist()],
+                                                  pa.list_(pa.int32()))], names=["digest", "at"])
 
-    return (dealt.select("m", "part", "parts", "digest", "n", "packed").repartition("m", "part")
-            .sortWithinPartitions("m", "part", "packed").mapInArrow(run, "digest binary, at array<int>"))
+    return hits.mapInArrow(join, "digest binary, at array<int>")
 
 
 def repeated_spans(docs: DataFrame, window=WINDOW, seed=SEED_WORDS, bucket_strings=BUCKET_STRINGS) -> DataFrame:
@@ -290,7 +316,7 @@ def _cut(wide, carried, with_text):
     kinds = {"kept_sha256": pa.string(), "kept_text": pa.binary()}
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = {n: [] for n in names}
             for text, spans in zip(column_bytes(batch, "text"), batch.column("spans").to_pylist()):
                 words = text.split()

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velario.llm.shared import column_bytes, ready, rows_of, saved, texts
+from velario.llm.shared import column_bytes, ready, rows_of, saved, small, texts
 from velario.llm.word_encoder import encoder
 
 CHUNK_CHARS = 1 << 15
@@ -43,7 +43,7 @@ def _first_cut(docs, tokenizer, chunk, overlap):
     def run(batches):
         coder = encoder(tokenizer)
         key = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small(batches):
             out = {f.name: [] for f in schema}
             data = column_bytes(batch, "text")
             # fewer bytes than the limit: surely not more characters
@@ -72,7 +72,7 @@ def _encode_chunks(chunks, tokenizer, chunk, overlap):
 
     def run(batches):
         library = encoder(tokenizer).library
-        for batch in batches:
+        for batch in small(batches):
             out = {n: [] for n in ("total", "head", "head_before", "tail", "tail_after")}
             for at, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist()):
                 found = library.encode(text, add_special_tokens=False)
@@ -147,7 +147,7 @@ def _rechunk(chunks, old, chunk, overlap):
                         ("n_tokens", pa.int64()), ("start", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for key, doc_id, n_bytes, text in zip(*(batch.column(n).to_pylist()
                                                     for n in ("key", "doc_id", "n_bytes", "text"))):
                 for i, (start, part) in enumerate(cut(text, chunk, overlap)):

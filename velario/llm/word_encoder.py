@@ -9,6 +9,7 @@ and a word's ids can be remembered. Any other tokenizer gets whole texts.
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,6 @@ import numpy as np
 # stand in the texts, and their lower-case letters, which cost more to find anew.
 CACHE_WORDS = 500_000
 CACHE_STEMS = 1_000_000
-_JOIN = 1024
 # a run of these is one piece; the apostrophe starts pieces of its own
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -46,6 +46,25 @@ def encoder(name: str) -> "Encoder":
     return Encoder(tokenizer_path(name))
 
 
+class _Forms(dict):
+    """The ids of words, found when a word is met for the first time."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word):
+        ids = self[word] = self.find(word)
+        return ids
+
+
+def _byte_letters() -> dict:
+    """The letter by which byte-level models know each byte: its own where it can be
+    seen, the next free one from U+0100 for all others."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = (b for b in range(256) if b not in seen)
+    return {b: b for b in seen} | {b: 0x100 + i for i, b in enumerate(other)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes of ``dtype``, without added tokens."""
 
@@ -65,22 +84,22 @@ class Encoder:
         self.size = top + 1
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.limits = words, stems
-        self.words, self.stems = {}, {}
-        if self.wordwise:
-            self.ends = np.zeros(top + 1, bool)
-            for piece, i in self.library.get_vocab(with_added_tokens=False).items():
-                self.ends[i] = piece.endswith("</w>")
+        self.words, self.stems = _Forms(self._word), _Forms(self._piece)
+        self._model, self._letters = self.library.model, _byte_letters()
 
     def encode_many(self, batch) -> list:
         """Ids of each text (``bytes`` of UTF-8) as bytes."""
         if not self.wordwise:
             found = self.library.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)
             return [self._pack(e.ids) for e in found]
-        cut = [text.split() for text in batch]
-        self._forget()
-        self._learn(set().union(*cut).difference(self.words))
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
+        known, out = self.words.__getitem__, []
+        for text in batch:
+            if len(self.words) > self.limits[0]:
+                self.words.clear()
+            if len(self.stems) > self.limits[1]:
+                self.stems.clear()
+            out.append(b"".join(map(known, text.split())))
+        return out
 
     def count_many(self, batch) -> list:
         return [len(ids) // self.dtype.itemsize for ids in self.encode_many(batch)]
@@ -88,43 +107,19 @@ class Encoder:
     def _pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, new) -> None:
-        """Remember the ids of words met for the first time."""
-        known, stems = self.words, self.stems
-        if len(stems) > self.limits[1]:
-            stems.clear()
-        odd, parts = [], []
-        for word in new:
-            form = word.decode()
-            # Below U+0180 composition leaves a text as it is, and a run of letters
-            # is one piece whatever precedes or follows it.
-            if word.isascii() or max(form) < "\u0180":
-                form = form.lower()
-                stem = form.rstrip(_MARKS)
-                if stem.isalpha():
-                    parts.append((word, stem, form[len(stem):]))
-                    continue
-            odd.append(word)
-        wanted = {stem for _, stem, _ in parts}.union(tail for _, _, tail in parts if tail)
-        self._learn_stems(list(wanted.difference(stems)))
-        known.update([(word, stems[stem] + stems[tail] if tail else stems[stem]) for word, stem, tail in parts])
-        if odd:
-            found = self.library.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
-            known.update([(word, self._pack(e.ids)) for word, e in zip(odd, found)])
-
-    def _forget(self) -> None:
-        if len(self.words) > self.limits[0]:
-            self.words.clear()
-
-    def _learn_stems(self, stems) -> None:
-        """Each stem is one piece, and the last id of a piece ends a word."""
-        size = self.dtype.itemsize
-        groups = [stems[i:i + _JOIN] for i in range(0, len(stems), _JOIN)]
-        found = self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, found):
-            ids = np.array(e.ids, self.dtype)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
-            if len(cuts) != len(group):
-                raise RuntimeError("the tokenizer cut a run of letters in an unexpected way")
-            data = ids.tobytes()
-            self.stems.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
+    def _word(self, word: bytes) -> bytes:
+        form = word.decode()
+        # Below U+0180 composition leaves a text as it is, and a run of letters is
+        # one piece whatever precedes or follows it.
+        if form.isascii() or max(form) < "\u0180":
+            form = form.lower()
+            stem = form.rstrip(_MARKS)
+            if stem.isalpha():
+                return self.stems[stem] + self.stems[form[len(stem):]] if len(stem) < len(form) else self.stems[stem]
+        return self._pack(self.library.encode(form, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of what the pre-tokenizer leaves in one piece."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self._letters)
+        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self._model.tokenize(piece)]).tobytes()
