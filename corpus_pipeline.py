@@ -5,9 +5,8 @@ returns is written as Parquet and read again as the next stage's documents.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from velario.llm import curve_packing, near_copies, rule_cascade, soft_mixing, superkmers
+from velario.llm import curve_packing, rule_cascade, simhash_trees, soft_mixing, superkmers
 from velario.llm.shared import new_path
 
 
@@ -17,9 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8
-    or more), the one with the smallest id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of SimHash near copies, the one with the smallest id."""
+    return simhash_trees.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +28,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say in expectation, rates fitted to the target weights."""
     labels = soft_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return soft_mixing.draw(soft_mixing.mix(docs, labels), docs.columns)
+    # a document's own columns may be called as the fitted ones are
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"own{i}" for i, c in enumerate(docs.columns)])
+    return soft_mixing.draw(soft_mixing.mix(plain, labels), plain.columns).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# tokenizers and a classifier take part: tests/llm/test_pipeline.py has a brute-force version
+# tokenizers and a classifier take part: tests/llm holds each stage against brute force
 ORACLE_SQL = None
 
 
