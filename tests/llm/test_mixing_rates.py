@@ -57,3 +57,29 @@ def test_drawn_tokens_meet_the_targets(spark, monkeypatch):
     assert drawn.columns == mixed.columns and drawn.select("rate").distinct().collect() == [("own",)]
     times = drawn.groupBy("doc_id", "domain").count().where("domain = 'q1t0'").agg(F.max("count")).first()[0]
     assert times == 2
+
+
+def test_no_document_is_taken_more_often_than_allowed(spark):
+    """A domain that hardly exists cannot serve its target: others share the rest, and rates stay small."""
+    rng = np.random.default_rng(3)
+    p = np.concatenate((rng.dirichlet([60, 3, 0.01], 3000), rng.dirichlet([1, 50, 0.01], 300), rng.dirichlet([1, 1, 50], 4)))
+    n = rng.integers(20, 900, len(p))
+    present = n @ p / n.sum()
+    targets = np.array([0.9, 0.05, 0.05])
+    rate, _ = soft_mixing.replay(p, soft_mixing.solve(soft(spark, p, n), list("abc"), dict(zip("abc", targets)), most=4.0), 4.0)
+    wanted = soft_mixing.attainable(targets, present, 4.0)
+    assert wanted.sum() == pytest.approx(1) and (wanted <= 2 * present + 1e-12).all() and wanted[2] < 0.01
+    assert (n * rate) @ p / n.sum() == pytest.approx(wanted.tolist(), rel=0.02)
+    assert rate.max() <= 4 and (rate > 0.5).mean() > 0.85
+
+
+def test_one_word_makes_a_long_text_toxic(spark):
+    """Rare tokens tell a domain by being there, also where another domain has a few documents only."""
+    rng = np.random.default_rng(6)
+    plain = [" ".join(rng.choice(["house", "river", "tree", "stone", "green", "walk"], 300)) for _ in range(400)]
+    texts = [(k, t + " idiot" if k % 8 == 0 else "???" if k in (1, 2, 3) else t) for k, t in enumerate(plain)]
+    labels = [(k, 0 if k in (1, 2, 3) else 1, int(k % 8 == 0)) for k in range(0, 400)]
+    domains = soft_mixing.label_domains(spark.createDataFrame(labels, "doc_id int, quality int, toxic int"))
+    mixed = soft_mixing.mix(spark.createDataFrame(texts, "doc_id int, text string"), domains.where("doc_id < 200"))
+    late = [r for r in mixed.collect() if r["doc_id"] >= 200]
+    assert all((r["domain"] == "q1t1") == (r["doc_id"] % 8 == 0) for r in late)

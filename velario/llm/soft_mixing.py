@@ -4,11 +4,17 @@ A classifier fitted on a labelled table gives each document posteriors over the
 domains. A domain's expected tokens are the sum over all documents of tokens times
 posterior times rate. Rates, none negative, are found whose expected totals meet the
 targets: weighted least squares in the relative errors, and of all that solve it the
-rates nearest to 1. Those are the projection onto the rates >= 0 of one gradient
-step from rate 1, with a step length for each domain: max(0, 1 - posteriors times
-lengths). The lengths are found by Newton steps with line search on the gradient at
-the rates they give; each is one distributed sum of a few numbers per pair of
-domains, and the state that goes round is one number per domain.
+rates nearest to 1. Those are the projection onto the rates from 0 to ``most`` of one
+gradient step from rate 1, with a step length for each domain: 1 - posteriors times
+lengths, cut off at both ends. The lengths are found by Newton steps with line search on
+the gradient at the rates they give; each is one distributed sum of a few numbers per
+pair of domains, and the state that goes round is one number per domain. (The method's
+wording, projected-gradient steps on the rates themselves, would carry a number for each
+document from step to step and needs hundreds; the rates it ends in are these.)
+
+Without ``most`` a target that only few documents can serve is met by taking those few a
+thousand times and nothing else. With it, a target is lowered to half of what the domain
+can give at most, for the same reason; the others share the rest.
 
 Cases: a null or empty text has no token and no effect on totals, its posteriors
 being the domains' shares of the labels; labels without a document, with nulls, or
@@ -34,16 +40,18 @@ TRAINING_ROWS = 20_000        # bound of the labelled rows that the classifier i
 STEPS = 200                   # bound of distributed sums; some ten are usual
 TOLERANCE = 1e-3              # gradient at the returned rates, relative to a domain's target, at which steps end
 _NEAR_ONE = 1e-6              # weight of the rates' squared distance from 1 beside the squared errors
-SIGNALS = 256                 # tokens whose shares the classifier looks at
-_FITTING_STEPS = 200
+MOST = 4.0                    # a document is taken at most this often
+SIGNALS = 256                 # tokens the classifier looks at: half by their shares, half by their mere presence
+_FITTING_STEPS = 300
 
 # shares of all tokens to train on, by "q<quality>t<toxic>"
-TARGETS = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.01, "q0t1": 0.01}
+TARGETS = {"q1t0": 0.93, "q0t0": 0.03, "q1t1": 0.03, "q0t1": 0.01}
 
 
 @dataclass
 class Classifier:
-    """Softmax regression on the shares of some telling tokens in a document.
+    """Softmax regression on some telling tokens of a document: their shares, and
+    whether they are there at all (one word makes a long text toxic).
 
     ``slot`` gives each token's place among them, or their number for all others.
     """
@@ -57,10 +65,11 @@ class Classifier:
 
     def features(self, ids: list) -> np.ndarray:
         """A row for each document, given their ids."""
-        n, lengths = len(self.scale), [len(i) for i in ids]
+        n, lengths = len(self.scale) // 2, [len(i) for i in ids]
         slots = np.repeat(np.arange(len(ids)) * (n + 1), lengths) + self.slot[np.concatenate(ids)]
         counts = np.bincount(slots, minlength=len(ids) * (n + 1)).reshape(-1, n + 1)[:, :n]
-        return np.sqrt(counts / np.maximum(lengths, 1)[:, None]) * self.scale
+        shares = np.sqrt(counts / np.maximum(lengths, 1)[:, None])
+        return np.concatenate((shares, counts > 0), axis=1) * self.scale
 
     def posteriors(self, ids: list) -> np.ndarray:
         if not ids or not self.domains:
@@ -100,19 +109,21 @@ def fit(docs: DataFrame, domains: DataFrame, tokenizer="word_bpe_49k.json", trai
     table = _token_shares(labelled, tokenizer).toPandas()          # domains x tokens of the vocabulary
     names = sorted(table["domain"].unique().tolist())
     size = encoder(tokenizer).size
-    first, second = np.zeros((len(names), size + 1)), np.zeros((len(names), size + 1))
+    first, second, there = (np.zeros((len(names), size + 1)) for _ in range(3))
     place = table["domain"].map({d: i for i, d in enumerate(names)}).to_numpy(np.int64)
     token = table["token"].to_numpy(np.int64)                      # the last place: numbers of documents
-    first[place, token], second[place, token] = table["share"], table["square"]
+    first[place, token], second[place, token], there[place, token] = table["share"], table["square"], table["there"]
     n = first[:, size]
-    model = Classifier(names, n / max(n.sum(), 1), np.full(size, 0, np.int32), np.ones(0), np.zeros((0, len(names))),
+    model = Classifier(names, n / max(n.sum(), 1), np.zeros(size, np.int32), np.ones(0), np.zeros((0, len(names))),
                        np.log((n + 1) / (n.sum() + len(names))))
     if len(names) < 2:
         return model
-    telling = np.sort(np.argsort(-_contrast(first[:, :size], second[:, :size], n), kind="stable")[:SIGNALS])
+    by_share, by_presence = (np.argsort(-_contrast(a[:, :size], b[:, :size], n), kind="stable")
+                             for a, b in ((first, second), (there, there)))
+    telling = np.union1d(by_share[:SIGNALS // 2], by_presence[:SIGNALS // 2])
     model.slot = np.full(size, len(telling), np.int32)
     model.slot[telling] = np.arange(len(telling))
-    model.scale = np.ones(len(telling))
+    model.scale = np.ones(2 * len(telling))
     return _regress(model, _feature_rows(labelled, model, tokenizer).toPandas())   # at most the bounded sample
 
 
@@ -133,35 +144,40 @@ def _ids(batch, dtype) -> list:
 
 
 def _token_shares(labelled, tokenizer) -> DataFrame:
-    """``(domain, token, share, square)``: sums of the square roots of tokens' shares and
-    of the shares, by domain; in place of a token, its vocabulary's size counts documents."""
+    """``(domain, token, share, square, there)``: sums of the square roots of tokens' shares,
+    of the shares, and documents, by domain; in place of a token, its vocabulary's size
+    counts all documents."""
     def run(batches):
         coder, sums = encoder(tokenizer), {}
         for batch in small(batches):
             for domain, ids in zip(batch.column("domain").to_pylist(), _ids(batch, coder.dtype)):
-                one = sums.setdefault(domain, np.zeros((2, coder.size + 1)))
+                one = sums.setdefault(domain, np.zeros((3, coder.size + 1)))
                 token, n = np.unique(ids, return_counts=True)
                 share = n / max(n.sum(), 1)
                 one[0, token] += np.sqrt(share)
                 one[1, token] += share
+                one[2, token] += 1
                 one[:, -1] += 1
-        for domain, (share, square) in sums.items():
-            some = np.flatnonzero(share)
-            yield pa.RecordBatch.from_arrays([pa.array([domain] * len(some)), pa.array(some), pa.array(share[some]),
-                                              pa.array(square[some])], names=["domain", "token", "share", "square"])
+        for domain, found in sums.items():
+            some = np.flatnonzero(found[0])
+            yield pa.RecordBatch.from_arrays([pa.array([domain] * len(some)), pa.array(some),
+                                              *[pa.array(f[some]) for f in found]], names=["domain", "token", *numbers])
 
-    each = labelled.mapInArrow(run, "domain string, token bigint, share double, square double")
-    return each.groupBy("domain", "token").agg(F.sum("share").alias("share"), F.sum("square").alias("square"))
+    numbers = ["share", "square", "there"]
+    each = labelled.mapInArrow(run, "domain string, token bigint, " + ", ".join(f"{n} double" for n in numbers))
+    return each.groupBy("domain", "token").agg(*[F.sum(n).alias(n) for n in numbers])
 
 
 def _contrast(first, second, n) -> np.ndarray:
     """For each token, how many standard errors its mean in some domain is from the others'."""
     best = np.zeros(first.shape[1])
+    everything = max(n.sum(), 1)
+    # the spread of all documents: that of a domain with few would be zero for most tokens
+    spread = np.maximum(second.sum(0) / everything - (first.sum(0) / everything) ** 2, 0) + 1e-9
     for i in range(len(n)):
         yes, no = max(n[i], 1), max(n.sum() - n[i], 1)
-        a, b = first[i] / yes, (first.sum(0) - first[i]) / no
-        spread = (second[i] / yes - a ** 2) / yes + ((second.sum(0) - second[i]) / no - b ** 2) / no
-        best = np.maximum(best, np.abs(a - b) / np.sqrt(np.maximum(spread, 0) + 1e-9))
+        apart = np.abs(first[i] / yes - (first.sum(0) - first[i]) / no)
+        best = np.maximum(best, apart / np.sqrt(spread * (1 / yes + 1 / no)))
     return best
 
 
@@ -222,12 +238,12 @@ def memberships(docs: DataFrame, model: Classifier, tokenizer="word_bpe_49k.json
     return docs.mapInArrow(run, ", ".join(fields + more))
 
 
-def replay(p: np.ndarray, steps) -> tuple:
+def replay(p: np.ndarray, steps, most=np.inf) -> tuple:
     """Rates of documents with posteriors ``p`` after ``steps`` of (errors, momentum),
     and the point at which the next gradient is taken."""
     rate = ahead = np.ones(len(p))
     for error, momentum in steps:
-        before, rate = rate, np.maximum(0.0, ahead - p @ np.asarray(error))
+        before, rate = rate, np.clip(ahead - p @ np.asarray(error), 0.0, most)
         ahead = rate + momentum * (rate - before)
     return rate, ahead
 
@@ -236,7 +252,22 @@ def _columns(batch, domains):
     return np.stack([batch.column(f"__p{d}").to_numpy() for d in range(domains)], axis=1)
 
 
-def solve(table: DataFrame, domains, targets, steps=STEPS, tolerance=TOLERANCE) -> list:
+def attainable(wanted: np.ndarray, present: np.ndarray, most: float) -> np.ndarray:
+    """Targets, none above half of what taking all of a domain ``most`` times would give;
+    what is cut off goes to the others in proportion."""
+    limit, short = present * most / 2, np.zeros(len(wanted), bool)
+    while True:
+        rest = 1 - limit[short].sum()
+        new = np.where(short, limit, wanted * rest / max(wanted[~short].sum(), 1e-12))
+        above = (new > limit) & ~short
+        if not above.any():
+            return new
+        short |= above
+        if short.all():
+            return wanted
+
+
+def solve(table: DataFrame, domains, targets, steps=STEPS, tolerance=TOLERANCE, most=np.inf) -> list:
     """The ``steps`` for ``replay`` that lead to the wanted totals.
 
     ``table`` has ``__tokens`` and a ``__p`` column for each domain. The errors that
@@ -251,14 +282,16 @@ def solve(table: DataFrame, domains, targets, steps=STEPS, tolerance=TOLERANCE)
     names = ["tokens", "energy", *[f"t{d}" for d in range(n)], *[f"g{d}" for d in range(n * n)]]
 
     def sums(lengths):
-        """All tokens; tokens times squared rate, halved; totals; their slopes."""
+        """All tokens; the integral over the rates up to the step; totals; their slopes."""
         def run(batches):
             total = np.zeros(len(names))
             for batch in batches:
                 p, tokens = _columns(batch, n), batch.column("__tokens").to_numpy().astype(np.float64)
-                rate = replay(p, [(lengths, 0.0)])[0]
-                slopes = p.T @ (p * (tokens * (rate > 0))[:, None])
-                total += np.concatenate(([tokens.sum(), tokens @ rate ** 2 / 2], (tokens * rate) @ p, slopes.ravel()))
+                point = 1 - p @ np.asarray(lengths)
+                rate = np.clip(point, 0.0, most)
+                slopes = p.T @ (p * (tokens * ((rate > 0) & (rate < most)))[:, None])
+                energy = tokens @ (rate * np.maximum(point, 0.0) - rate ** 2 / 2)
+                total += np.concatenate(([tokens.sum(), energy], (tokens * rate) @ p, slopes.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
 
         found = narrow.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
@@ -276,6 +309,7 @@ def solve(table: DataFrame, domains, targets, steps=STEPS, tolerance=TOLERANCE)
     if not everything:
         return []
     present = np.maximum(start[2:n + 2] / everything, 1e-9)
+    wanted = attainable(wanted, present, most)
     lengths = np.zeros(n)
     value, gradient, slopes, total = measured(lengths)
     left, done = steps, False
@@ -300,13 +334,13 @@ def solve(table: DataFrame, domains, targets, steps=STEPS, tolerance=TOLERANCE)
     return [(lengths.tolist(), 0.0)]
 
 
-def with_rates(table: DataFrame, domains, taken) -> DataFrame:
+def with_rates(table: DataFrame, domains, taken, most=np.inf) -> DataFrame:
     """``table`` with the column ``__rate``."""
     n = len(domains)
 
     def run(batches):
         for batch in batches:
-            rate = replay(_columns(batch, n), taken)[0] if n else np.ones(batch.num_rows)
+            rate = replay(_columns(batch, n), taken, most)[0] if n else np.ones(batch.num_rows)
             yield batch.append_column("__rate", pa.array(rate))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields]
@@ -314,7 +348,7 @@ def with_rates(table: DataFrame, domains, taken) -> DataFrame:
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets=None, tokenizer="word_bpe_49k.json",
-        training_rows=TRAINING_ROWS) -> DataFrame:
+        training_rows=TRAINING_ROWS, most=MOST) -> DataFrame:
     """``docs`` with ``n_tokens``, ``domain`` (the likeliest), ``posterior`` (of that
     domain) and ``rate``: how often to take each document. Those four names come
     last; columns of ``docs`` with such a name are left out."""
@@ -324,8 +358,8 @@ def mix(docs: DataFrame, domains: DataFrame, targets=None, tokenizer="word_bpe_4
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     source = plain.withColumn("__text", F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit("")))
     table = saved(memberships(source, model, tokenizer), "memberships")
-    taken = solve(table, model.domains, TARGETS if targets is None else targets)
-    table = with_rates(table, model.domains, taken)
+    taken = solve(table, model.domains, TARGETS if targets is None else targets, most=most)
+    table = with_rates(table, model.domains, taken, most)
     new = ["n_tokens", "domain", "posterior", "rate"]
     if not model.domains:
         best = F.struct(F.lit(None).cast("double").alias("p"), F.lit(None).cast("string").alias("d"))
