@@ -29,8 +29,8 @@ def default_tweak(column: str) -> str:
     return column.strip().lower()
 
 
-def context(spark, key: Key, forward=True, lists=None, strict=False) -> Context:
-    return Context(spark, key, forward, {**default_lists(), **(lists or {})}, strict)
+def context(spark, key: Key, forward=True, lists=None, strict=False, native=False) -> Context:
+    return Context(spark, key, forward, {**default_lists(), **(lists or {})}, strict, native)
 
 
 def with_surrogates(df: DataFrame, ctx: Context, rules, suffix_new="__new", suffix_error="__error", mapped=()):
@@ -49,10 +49,10 @@ def with_surrogates(df: DataFrame, ctx: Context, rules, suffix_new="__new", suff
     return df
 
 
-def _apply(df, key, rules, forward, on_bad, lists, strict):
+def _apply(df, key, rules, forward, on_bad, lists, strict, native):
     if on_bad not in ("fail", "skip"):
         raise ValueError("on_bad is 'fail' or 'skip'")
-    ctx = context(df.sparkSession, key, forward, lists, strict)
+    ctx = context(df.sparkSession, key, forward, lists, strict, native)
     return replace_columns(with_surrogates(df, ctx, rules), df.columns, rules, on_bad)
 
 
@@ -73,15 +73,16 @@ def replace_columns(wide: DataFrame, columns, rules, on_bad) -> DataFrame:
     return wide.select([pick(name) for name in columns])
 
 
-def encrypt(df: DataFrame, key: Key, rules, on_bad="fail", lists=None, strict=False) -> DataFrame:
+def encrypt(df: DataFrame, key: Key, rules, on_bad="fail", lists=None, strict=False, native=False) -> DataFrame:
     """Replace the columns of ``rules`` by surrogates.
 
     ``on_bad='fail'`` stops the job at the first untreatable value; ``'skip'``
     leaves such values as they are - list them with ``preview.untreatable``.
+    ``native`` keeps VAT numbers out of Python workers.
     """
-    return _apply(df, key, rules, True, on_bad, lists, strict)
+    return _apply(df, key, rules, True, on_bad, lists, strict, native)
 
 
-def decrypt(df: DataFrame, key: Key, rules, on_bad="fail", lists=None) -> DataFrame:
+def decrypt(df: DataFrame, key: Key, rules, on_bad="fail", lists=None, native=False) -> DataFrame:
     """Bring surrogates back with the key, tweaks and lists they were made with."""
-    return _apply(df, key, rules, False, on_bad, lists, False)
+    return _apply(df, key, rules, False, on_bad, lists, False, native)

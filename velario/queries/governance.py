@@ -85,9 +85,9 @@ def policy_document(spark, sf_dir):
 
 
 # -- the registry --------------------------------------------------------------------------
-# Log rows from ``orders``: a customer group is a column, the order its version.
+# Log rows from ``orders``: a customer is a column, the order its version.
 _LOG = """
-select 'db' as database, 't' || cast(o_custkey % 4 as string) as "table", 'c' || cast(o_custkey % 40 as string) as "column",
+select 'db' as database, 't' || cast(o_custkey % 4 as string) as "table", 'c' || cast(o_custkey as string) as "column",
        o_orderkey as version, case when o_orderstatus = 'F' then 'cifrata' when o_orderstatus = 'P' then 'in_corso'
        when o_orderkey % 5 = 0 then 'azzerata' else 'in_chiaro' end as state,
        'PIVA' as kind, 'k' as tweak, case when o_custkey % 3 = 0 then 'other' else 'mine' end as key_id,
@@ -110,7 +110,7 @@ def _log(spark, sf_dir):
 def _rules(spark, sf_dir):
     """Columns that were logged and some that never were."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where(k < 44).select(
+    return table(spark, sf_dir, "customer").select(
         F.lit("db").alias("database"), F.concat(F.lit("t"), k % 4).alias("table"), F.concat(F.lit("c"), k).alias("column"),
         F.when(k % 5 == 4, NULLIFY).otherwise(ENCRYPT).alias("strategy"), F.lit("PIVA").alias("kind"), F.lit("k").alias("tweak"),
         F.when(k % 16 == 1, "list-b").when(k % 8 == 1, "list-a").alias("list"))
@@ -118,7 +118,7 @@ def _rules(spark, sf_dir):
 
 _RULES_SQL = ("r as (select 't' || cast(c_custkey % 4 as varchar) as \"table\", 'c' || cast(c_custkey as varchar) as \"column\", "
               "case when c_custkey % 5 = 4 then 'azzera' else 'cifra' end as strategy, case when c_custkey % 16 = 1 then 'list-b' "
-              "when c_custkey % 8 = 1 then 'list-a' end as mine from customer where c_custkey < 44)")
+              "when c_custkey % 8 = 1 then 'list-a' end as mine from customer)")
 _AT = "\"table\" || '.' || \"column\" as place"
 
 

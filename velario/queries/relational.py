@@ -6,7 +6,7 @@ from velario.operators import detect as D
 from velario.operators import mapping as M
 from velario.operators import preview as V
 from velario.operators import profile as P
-from velario.operators.pseudonymise import Rule, context
+from velario.operators.pseudonymise import Rule, context, encrypt
 from velario.operators.ranges import next_bound, range_bounds
 from velario.queries.derived import (KEY, TABLES, name_sql, people, table, tax_body_sql, tax_letter_sql, vat,
                                      vat_sql)
@@ -139,11 +139,12 @@ def map_equals_inline(spark, sf_dir):
     df = _coded(spark, sf_dir)
     ctx = context(spark, KEY)
     pairs = M.value_map(df, ctx, "piva", "PIVA", "piva")
-    mapped = M.apply_map(df, "piva", pairs).select("o_orderkey", F.col("piva").alias("mapped"))
-    from velario.operators.pseudonymise import encrypt
+    both = df.withColumn("clear", F.col("piva"))
+    mapped = M.apply_map(both, "piva", pairs).select("o_orderkey", "clear", F.col("piva").alias("mapped"))
     inline = encrypt(df, KEY, [Rule("piva", "PIVA")]).select("o_orderkey", F.col("piva").alias("inline"))
     return mapped.join(inline, "o_orderkey").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("mapped") != F.col("inline")).alias("n_differ"),
+        F.count_if(F.col("mapped") != F.col("clear")).alias("n_changed"),
         F.count_distinct("mapped").alias("n_values"))
 
 
@@ -267,7 +268,7 @@ ORACLES = {
                        f"then reverse({_VO}) else {_VO} end as piva from orders",
     "map_effect": f"select count(distinct {_VO}) as n_map, count(*) as n_matched, count(*) filter (where reverse({_VO}) <> {_VO}) "
                   f"as n_effective from orders where {_NOT_7}",
-    "map_equals_inline": "select count(*) as n_rows, 0 as n_differ, count(distinct o_custkey) as n_values from orders",
+    "map_equals_inline": "select count(*) as n_rows, 0 as n_differ, count(*) as n_changed, count(distinct o_custkey) as n_values from orders",
     "ranges": "select (n - 1) // 700 as range, max(o_orderkey) as upto, count(*) as n_rows from (select o_orderkey, row_number() "
               "over (order by o_orderkey) as n from orders) group by 1",
     "text_ranges": "select (n - 1) // 100 as range, max(c_name) as upto, count(*) as n_rows from (select c_name, row_number() "
