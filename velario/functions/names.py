@@ -3,9 +3,13 @@
 Columns first: spotting list entries, restyling and refusing short names are
 expressions. Only the off-list walk, whose number of steps depends on the value,
 runs in an Arrow function, once per distinct value of a batch.
+
+The walk treats all unfinished values of a batch at once, in matrices with a row for
+each value and a column for each letter. Two neighbouring letters tell by a table
+which unit begins with the first, so units are read, and a word that was put together
+is held against the shape it must have, without a look at single values.
 """
 
-import re
 import unicodedata
 
 import numpy as np
@@ -35,11 +39,28 @@ UNIT_PATTERN = (
     f"[{VOWELS}]|" + "|".join(PIECES["GG"]) + "|" + "|".join(LIQUID_CLUSTERS) + "|"
     + "|".join(DIGRAPHS) + f"|[{NASALS}][{STOPS}]|S[{STOPS}]|[{LIQUIDS}][{CONSONANTS}]|[{CONSONANTS}]"
 )
-_UNIT = re.compile(UNIT_PATTERN)
-_READ = {}
-for _kind, _pieces in PIECES.items():
-    for _index, _piece in enumerate(_pieces):
-        _READ.setdefault(_piece, (_kind, _index))
+# The same by two letters (0 to 25; 26 behind the end): kind of the unit that begins with
+# the first, and its place among the pieces of that kind. V comes first, C last.
+_KINDS = list(PIECES)
+_END, _V, _C = 26, 0, len(_KINDS) - 1
+_RADIX = np.array([len(PIECES[k]) for k in _KINDS] + [1], np.int64)      # the last: no unit begins here
+_NONE = len(_KINDS)
+
+
+def _tables():
+    kind, place = np.full((27, 27), _NONE, np.int8), np.zeros((27, 27), np.int64)
+    spelling = np.full((2, len(_KINDS) + 1, max(_RADIX)), _END, np.uint8)
+    for k in reversed(range(len(_KINDS))):                                # earlier kinds win
+        for i, piece in enumerate(PIECES[_KINDS[k]]):
+            letters = [ord(c) - 65 for c in piece]
+            spelling[:len(letters), k, i] = letters
+            where = tuple(letters) if len(letters) == 2 else (letters[0], slice(None))
+            kind[where], place[where] = k, i
+    return kind, place, spelling
+
+
+_KIND_AT, _PLACE_AT, _SPELLING = _tables()
+_IS_VOWEL = np.array([chr(65 + i) in VOWELS for i in range(26)] + [False])
 
 # Letters that become one of A-Z when upper-cased.
 _LETTER_CLASS = "A-Za-zıſ"
@@ -130,47 +151,7 @@ def normalise(value: Column) -> Column:
 
 
 # -- inside tasks -------------------------------------------------------------
-def _shape(word, units):
-    """Unit types and doubled vowels: what a surrogate must share with its original."""
-    doubled = tuple(i for i in range(len(word) - 1) if word[i] == word[i + 1] and word[i] in VOWELS)
-    return tuple(_READ[u][0] for u in units), doubled
-
-
-class _Walk:
-    """One off-list value on its way to a surrogate."""
-
-    def __init__(self, value, entries):
-        self.value, self.entries = value, entries
-        self.positions = [i for i, c in enumerate(value)
-                          if len(c.upper()) == 1 and "A" <= c.upper() <= "Z"]
-        word = "".join(value[i].upper() for i in self.positions)
-        units = _UNIT.findall(word)
-        self.shape = _shape(word, units)
-        self.index, self.domain = 0, 1
-        for unit in units:
-            kind, index = _READ[unit]
-            self.index = self.index * len(PIECES[kind]) + index
-            self.domain *= len(PIECES[kind])
-        self.digits = max(2, len(str(self.domain - 1)))
-        self.result = None
-
-    def land(self, index):
-        """Take the next index; True when it is a readable, off-list surrogate."""
-        self.index = index
-        if index >= self.domain:
-            return False
-        pieces = []
-        for kind in reversed(self.shape[0]):
-            index, piece = divmod(index, len(PIECES[kind]))
-            pieces.append(PIECES[kind][piece])
-        word = "".join(reversed(pieces))
-        if _shape(word, _UNIT.findall(word)) != self.shape:
-            return False
-        out = list(self.value)
-        for position, letter in zip(self.positions, word):
-            out[position] = letter if self.value[position].isupper() else letter.lower()
-        self.result = "".join(out)
-        return not is_entry(self.result, self.entries)
+_CELLS = 1 << 21             # letters of the values that walk together
 
 
 def is_entry(value, entries):
@@ -179,25 +160,131 @@ def is_entry(value, entries):
     return upper in entries and value in (upper, value.lower(), value.title())
 
 
-def walk_off_list(ff1, values, entries, tweak, forward, limit=100_000):
-    """Surrogates of off-list values; every round permutes all unfinished ones."""
-    walks = [_Walk(v, entries) for v in values]
-    pending = walks
+def _following(letters):
+    return np.concatenate((letters[:, 1:], np.full((len(letters), 1), _END, np.uint8)), axis=1)
+
+
+def _doubled_vowels(letters):
+    return (letters == _following(letters)) & _IS_VOWEL[letters]
+
+
+class _Words:
+    """Values of like length: their letters, units, and numbers among all words of their shape."""
+
+    def __init__(self, values):
+        self.values = values
+        self.plain = [v.isascii() and v.isalpha() for v in values]
+        self.places = [None if p else [i for i, c in enumerate(v) if len(c.upper()) == 1 and "A" <= c.upper() <= "Z"]
+                       for v, p in zip(values, self.plain)]
+        words = [v.upper() if p is None else "".join(v[i].upper() for i in p) for v, p in zip(values, self.places)]
+        width = max(map(len, words))
+        raw = np.array(words, f"S{width}").view(np.uint8).reshape(len(words), width)
+        self.letters = np.where(raw, raw - 65, _END).astype(np.uint8)
+        kinds = _KIND_AT[self.letters, _following(self.letters)]
+        open_ = np.ones(len(words), bool)
+        for i in range(width):                    # a unit of two letters covers the place behind it
+            kinds[~open_, i] = _NONE
+            own = kinds[:, i]
+            open_ = (own == _V) | (own == _C) | (own == _NONE)
+        self.kinds, self.radix = kinds, _RADIX[kinds]
+        self.doubled = _doubled_vowels(self.letters)
+        self.large = np.log10(self.radix).sum(axis=1) > 17.9               # exact numbers need Python's integers
+        self.low = np.array([[c.islower() for c in v] + [False] * (width - len(v)) if p else [False] * width
+                             for v, p in zip(values, self.plain)], bool).reshape(len(words), width)
+
+    def numbers(self, rows, kind):
+        """(number, how many there are) of each word among those of its shape."""
+        index, size = np.zeros(len(rows), kind), np.ones(len(rows), kind)
+        place = np.where(self.kinds == _NONE, 0, _PLACE_AT[self.letters, _following(self.letters)])[rows]
+        for i in range(self.letters.shape[1]):
+            radix = self.radix[rows, i].astype(kind)
+            index, size = index * radix + place[:, i].astype(kind), size * radix
+        return index, size
+
+    def spelled(self, rows, index):
+        """The letters of the words with these numbers, and whether they have the shape."""
+        kinds, radix = self.kinds[rows], self.radix[rows]
+        letters = np.full(kinds.shape, _END, np.uint8)
+        for i in reversed(range(kinds.shape[1])):
+            r = radix[:, i]
+            if (r == 1).all():
+                continue
+            index, piece = index // r, (index % r).astype(np.int64)
+            first, second = _SPELLING[0, kinds[:, i], piece], _SPELLING[1, kinds[:, i], piece]
+            begins = kinds[:, i] != _NONE
+            letters[begins, i] = first[begins]
+            if i + 1 < kinds.shape[1]:
+                two = second != _END
+                letters[two, i + 1] = second[two]
+        same = (kinds == _NONE) | (_KIND_AT[letters, _following(letters)] == kinds)
+        return letters, same.all(axis=1) & (_doubled_vowels(letters) == self.doubled[rows]).all(axis=1)
+
+    def written(self, rows, letters):
+        """The values with these letters in place of their own, in the same writing."""
+        raw = np.where(letters == _END, 0, letters + 65 + 32 * self.low[rows]).astype(np.uint8)
+        texts = np.ascontiguousarray(raw).view(f"S{raw.shape[1]}")[:, 0].astype(str).tolist()
+        for k, row in enumerate(rows.tolist()):
+            if not self.plain[row]:
+                out = list(self.values[row])
+                for i, letter in zip(self.places[row], texts[k]):
+                    out[i] = letter if out[i].isupper() else letter.lower()
+                texts[k] = "".join(out)
+        return texts
+
+
+def _steps(ff1, x, digits, tweak, forward):
+    if x.dtype != object:
+        return ff1.permute_mixed(x, digits, tweak, forward)
+    out = np.empty_like(x)
+    for n in np.unique(digits):
+        some = digits == n
+        out[some] = step_digits(ff1, x[some], int(n), tweak, forward)
+    return out
+
+
+def _walked(ff1, words, rows, kind, entries, tweak, forward, result, limit):
+    x, size = words.numbers(rows, kind)
+    digits = np.array([max(2, len(str(int(s) - 1))) for s in size])
     for _ in range(limit):
-        if not pending:
-            return [w.result for w in walks]
-        by_width = {}
-        for walk in pending:
-            by_width.setdefault(walk.digits, []).append(walk)
-        pending = []
-        for digits, group in by_width.items():
-            x = np.array([w.index for w in group], dtype=np.int64 if digits <= 18 else object)
-            for walk, index in zip(group, step_digits(ff1, x, digits, tweak, forward)):
-                if not walk.land(int(index)):
-                    pending.append(walk)
+        if not len(rows):
+            return
+        x = _steps(ff1, x, digits, tweak, forward)
+        inside = np.flatnonzero(x < size)
+        letters, good = words.spelled(rows[inside], x[inside])
+        landed, done = inside[good], np.zeros(len(rows), bool)
+        for at, text in zip(landed.tolist(), words.written(rows[landed], letters[good])):
+            if not is_entry(text, entries):
+                result[rows[at]] = text
+                done[at] = True
+        rows, x, size, digits = rows[~done], x[~done], size[~done], digits[~done]
     raise RuntimeError("the walk of an off-list name does not end")
 
 
+def _of_like_length(values):
+    """Row numbers of values that walk together: letters times values are bounded."""
+    group = []
+    for row in sorted(range(len(values)), key=lambda r: len(values[r])):
+        if group and (len(group) + 1) * len(values[row]) > _CELLS:
+            yield group
+            group = []
+        group.append(row)
+    if group:
+        yield group
+
+
+def walk_off_list(ff1, values, entries, tweak, forward, limit=100_000):
+    """Surrogates of off-list values; every round permutes all unfinished ones."""
+    out = [None] * len(values)
+    for group in _of_like_length(values):
+        words, result = _Words([values[r] for r in group]), [None] * len(group)
+        for large, kind in ((False, np.int64), (True, object)):
+            rows = np.flatnonzero(words.large == large)
+            _walked(ff1, words, rows, kind, entries, tweak, forward, result, limit)
+        for row, text in zip(group, result):
+            out[row] = text
+    return out
+
+
 def off_list_udf(key: bytes, entries: frozenset, tweak: bytes, forward: bool):
     """Arrow function: stripped off-list values to surrogates, NULL to NULL."""
     @F.pandas_udf(StringType())
