@@ -10,15 +10,14 @@ from velario.fixed import CLEAR, DECRYPT, ENCRYPT, ENCRYPTED, LIST_TYPES, NULLIF
 from velario.operators import preview
 from velario.operators.mapping import check_effect
 from velario.operators.pseudonymise import Rule, context, replace_columns, with_surrogates
-from velario.operators.ranges import range_bounds
+from velario.operators.ranges import numbered
 from velario.plans import policy as P
 from velario.plans import registry as R
-from velario.sources.store import TableStore
+from velario.session import saved
+from velario.sources.store import FLAG, RANGE, TableStore
 from velario.sources.tables import Constraints, describe
 from velario.sources.wordlists import default_lists
 
-# Ranges are jobs of their own, started by the driver one after the other.
-MAX_RANGES = 10_000
 # Rows per value from which a column is treated by its distinct values.
 REPEATS = 20
 REPORT = ("operation string, table string, column string, kind string, rows_updated bigint, "
@@ -168,14 +167,13 @@ class Runner:
         if rules and any(skipped.values()):
             left.append(preview.untreatable(df, ctx, rules).select(F.lit(table).alias("table"), "*"))
 
-        ranges = self._ranges(table, df, run, resumed)
+        places = self._ranges(table, df, run, resumed)
         if not resumed:
             self._start(table, rules, empty, direction, run)
-        measures = self._measures(rules, empty)
-        if ranges is None:
-            counts = self._write(table, run, wide, df, rules, empty, measures)
+        if places is None:
+            counts = self._write(table, run, wide, df, rules, empty)
         else:
-            counts = self._write_ranges(table, run, wide, df, rules, empty, measures, ranges, on_range)
+            counts = self._write_ranges(table, run, wide, df, rules, empty, places, on_range)
         for rule in rules:
             # every treatable value must have been replaced, or nothing is committed
             check_effect(counts[f"due_{rule.column}"], counts[f"new_{rule.column}"])
@@ -213,75 +211,89 @@ class Runner:
         self.store.append_registry(R.start(self.store.registry(), columns))
 
     @staticmethod
-    def _measures(rules, empty):
-        out = []
+    def _flags(rules, empty):
+        """What is counted, as a test of each row: due and new by rule, gone by emptied column."""
+        out = {}
         for r in rules:
-            due = F.col(r.column).isNotNull() & F.col(f"{r.column}__error").isNull()
-            out += [F.count_if(due).alias(f"due_{r.column}"), F.count(F.col(f"{r.column}__new")).alias(f"new_{r.column}")]
-        return out + [F.count(F.col(c)).alias(f"gone_{c}") for c in empty]
+            out[f"due_{r.column}"] = F.col(r.column).isNotNull() & F.col(f"{r.column}__error").isNull()
+            out[f"new_{r.column}"] = F.col(f"{r.column}__new").isNotNull()
+        return out | {f"gone_{c}": F.col(c).isNotNull() for c in empty}
 
-    def _write(self, table, run, wide, df, rules, empty, measures, part=None):
+    @staticmethod
+    def _final(wide, columns, df, rules, empty):
+        final = replace_columns(wide, columns, rules, "skip")
+        return final.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in empty}) if empty else final
+
+    def _write(self, table, run, wide, df, rules, empty):
         seen = Observation()
+        measures = [F.count_if(test).alias(name) for name, test in self._flags(rules, empty).items()]
         counted = wide.observe(seen, F.count(F.lit(1)).alias("rows"), *measures)
-        final = replace_columns(counted, df.columns, rules, "skip")
-        if empty:
-            final = final.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in empty})
-        self.store.write(table, run, final, part)
+        self.store.write(table, run, self._final(counted, df.columns, df, rules, empty))
         return seen.get
 
     # -- ranges ---------------------------------------------------------------------
+    def _of_run(self, log, run, table):
+        return log.where((F.col("run") == run) & (F.col("table") == table))
+
     def _ranges(self, table, df, run, resumed):
-        """[(number, after, upto)] still to write, or None for one write of it all."""
+        """``(key, RANGE)`` of each row, or None for one write of it all. Their bounds go
+        on record before a run begins; one that goes on must find the same."""
         key = self.constraints.single_key(table)
+        if not resumed and not (self.rows_per_range and key):
+            return None
+        plan = self._of_run(self.store.range_plan(), run, table)
+        if not df.where(F.col(key).isNull()).isEmpty():
+            raise ValueError(f"{table}.{key} is declared a primary key but holds nulls")
+        # the first range is as large as any
+        size = plan.agg(F.max("n_rows").alias("n")).first()["n"] if resumed else self.rows_per_range
+        places = saved(numbered(df.select(key), key).select(
+            key, F.floor(F.col("__number") / size).cast("bigint").alias(RANGE)), "ranges_of_keys")
+        bounds = places.groupBy(RANGE).agg(F.max(key).cast("string").alias("upto"), F.count(F.lit(1)).alias("n_rows"))
         if resumed:
-            plan = self.store.range_plan().where((F.col("run") == run) & (F.col("table") == table))
-        elif self.rows_per_range and key:
-            if df.count() > MAX_RANGES * self.rows_per_range:      # before anything is put on record
-                raise ValueError(f"more than {MAX_RANGES} ranges; raise rows_per_range")
-            bounds = range_bounds(df, key, self.rows_per_range)
+            known = plan.select(F.col("number").alias(RANGE), "upto", "n_rows")
+            if bounds.count() != known.count() or not bounds.exceptAll(known).isEmpty():
+                raise R.InconsistentState(f"{table}: the ranges on record are not those of its keys")
+        else:
             base = self.store.current(table)["version"]
-            plan = bounds.select(F.lit(run).alias("run"), F.lit(table).alias("table"),
-                                 F.lit(base).cast("bigint").alias("base"), F.col("range").alias("number"), F.col("upto").cast("string").alias("upto"), "n_rows")
-            if df.where(F.col(key).isNull()).limit(1).count():
-                raise ValueError(f"{table}.{key} is declared a primary key but holds nulls")
-            self.store._append("range_plan", plan)
-            plan = self.store.range_plan().where((F.col("run") == run) & (F.col("table") == table))
+            self.store._append("range_plan", bounds.select(
+                F.lit(run).alias("run"), F.lit(table).alias("table"), F.lit(base).cast("bigint").alias("base"),
+                F.col(RANGE).alias("number"), "upto", "n_rows"))
+        return places
+
+    def _write_ranges(self, table, run, wide, df, rules, empty, places, on_range):
+        """All ranges that are not there yet, in one job; what the files hold goes on record."""
+        began, key = time.time(), self.constraints.single_key(table)
+        flags = {f"{FLAG}{i}": (name, test) for i, (name, test) in enumerate(self._flags(rules, empty).items())}
+        done = self._of_run(self.store.ranges_done(), run, table).select("number")
+        left = self._of_run(self.store.range_plan(), run, table).join(done, "number", "left_anti").select(
+            F.col("number").alias(RANGE), "upto", "n_rows")
+        missing = left
+        if (staged := self.store.staged_ranges(table, run)) is not None:
+            found = staged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("rows")).join(left, RANGE)
+            # only a range that several tasks wrote could be there in part
+            for r in found.where(F.col("rows") != F.col("n_rows")).toLocalIterator():
+                self.store.drop_staged_range(table, run, r[RANGE])
+            missing = left.join(found.where(F.col("rows") == F.col("n_rows")), RANGE, "left_anti")
+        missing = saved(missing.select(RANGE), "missing_ranges")
+        if not missing.isEmpty():
+            marked = wide.withColumns({flag: test for flag, (_, test) in flags.items()})
+            placed = marked.join(places.join(missing, RANGE, "left_semi"), key)
+            self.store.write(table, run, self._final(placed, [*df.columns, *flags, RANGE], df, rules, empty), by_range=True)
+        counts = F.create_map(*[x for flag, (name, _) in flags.items() for x in (F.lit(name), F.count_if(flag))])
+        held = self.store.staged_ranges(table, run).groupBy(RANGE).agg(F.count(F.lit(1)).alias("rows"), counts.alias("counts"))
+        rows = saved(left.join(held, RANGE).where(F.col("rows") == F.col("n_rows")).select(
+            F.lit(run).alias("run"), F.lit(table).alias("table"), F.col(RANGE).alias("number"), "upto", "rows", "counts",
+            F.current_timestamp().alias("at")), "written_ranges")
+        if on_range is None:
+            self.store._append("ranges_done", rows)
         else:
-            return None
-        rows = plan.select("number", "upto").collect()            # at most MAX_RANGES
-        ordered = sorted((r["number"], r["upto"]) for r in rows)
-        steps = [(n, ordered[i - 1][1] if i else None, upto) for i, (n, upto) in enumerate(ordered)]
-        done = {r["number"] for r in self.store.ranges_done().where(
-            (F.col("run") == run) & (F.col("table") == table)).select("number").collect()}
-        return [s for s in steps if s[0] not in done]
-
-    def _typed(self, table, df, key, text):
-        """A key read back from a log, in the type of its column."""
-        target = df.schema[key].dataType
-        value = self.spark.range(1).select(F.lit(text).try_cast(target).alias("v")).first()["v"]
-        if value is None:
-            raise R.InconsistentState(f"{table}: the last key on record is not a {target.simpleString()}")
-        return F.lit(text).cast(target)
-
-    def _write_ranges(self, table, run, wide, df, rules, empty, measures, ranges, on_range):
-        key = self.constraints.single_key(table)
-        if ranges and ranges[-1][2] is not None:
-            self._typed(table, df, key, ranges[-1][2])
-        for number, after, upto in ranges:
-            began = time.time()
-            target = df.schema[key].dataType
-            inside = F.col(key) <= F.lit(upto).cast(target)
-            if after is not None:
-                inside = inside & (F.col(key) > F.lit(after).cast(target))
-            counts = self._write(table, run, wide.where(inside), df, rules, empty, measures, number)
-            done = self.spark.createDataFrame(
-                [(run, table, number, upto, counts["rows"], dict(counts))],
-                "run string, table string, number bigint, upto string, rows bigint, counts map<string, bigint>")
-            self.store._append("ranges_done", done.withColumn("at", F.current_timestamp()))
-            self.store.log_operation(run, table, None, "range", rows=counts["rows"],
-                                     seconds=time.time() - began)
-            if on_range:
-                on_range(number)
+            for r in rows.select("number").orderBy("number").toLocalIterator():
+                self.store._append("ranges_done", rows.where(F.col("number") == r["number"]))
+                on_range(r["number"])
+        self.store.log_operation(run, table, None, "ranges", rows=rows.agg(F.sum("rows").alias("n")).first()["n"],
+                                 seconds=time.time() - began)
+        if rows.count() != left.count():
+            raise R.InconsistentState(f"{table}: not every range of {run} was written")
         return self._range_totals(table, run, rules, empty)
 
     def _range_totals(self, table, run, rules, empty):

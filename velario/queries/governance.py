@@ -235,7 +235,7 @@ def range_resume(spark, sf_dir):
     """A run by ranges that is broken off and resumed, against one that is not."""
     store, policy = _store(spark, sf_dir)
     keys = Constraints(primary_keys={"people": ["c_custkey"]})
-    rows = table(spark, sf_dir, "customer").count() // 4 + 1
+    rows = table(spark, sf_dir, "customer").count() // 100 + 1           # about a hundred ranges
     whole, other = Runner(store, policy, KEY, "db", keys), _store(spark, sf_dir)[0]
     whole.run(on_bad="skip")
 

@@ -21,6 +21,9 @@ RANGE_DONE = ("run string, table string, number bigint, upto string, rows bigint
 OPERATION = ("run string, table string, column string, phase string, rows bigint, n_distinct bigint, "
              "skipped bigint, seconds double, error_class string, at timestamp")
 _STAGED = re.compile(r"^run-[0-9a-f]{12}$")
+# Columns of staged files that tell what was done to a row; no reader of the table sees them.
+FLAG = "__flag_"
+RANGE = "__range"
 
 
 # What a row of each log cannot do without; a row that lacks it is damaged.
@@ -150,12 +153,32 @@ class TableStore:
         reader = self.spark.read.format(entry["format"])
         if entry["run"]:
             reader = reader.option("recursiveFileLookup", "true")
-        return reader.load(entry["path"])
+        found = reader.load(entry["path"])
+        return found.drop(*[c for c in found.columns if c.startswith(FLAG)]) if entry["run"] else found
+
+    def write(self, table, run, rows: DataFrame, by_range=False):
+        """Write staged files, all at once or a folder for each value of ``RANGE``.
+
+        By range, each task's files are in place when it ends, so what a job that
+        breaks off had finished is not lost.
+        """
+        target = self.staging(table, run)
+        if not by_range:
+            rows.write.mode("overwrite").parquet(target)
+            return
+        writer = rows.repartition(F.col(RANGE)).write.mode("append").partitionBy(RANGE)
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(target)
+
+    def staged_ranges(self, table, run):
+        """The rows that were written by range so far, or None."""
+        path = self.staging(table, run)
+        if not any(f.startswith(f"{RANGE}=") for f in self._folders(path)):
+            return None
+        return self.spark.read.parquet(path).withColumn(RANGE, F.col(RANGE).cast("bigint"))
 
-    def write(self, table, run, rows: DataFrame, part=None):
-        """Write staged files; a part that failed before is written afresh."""
-        target = self.staging(table, run) + (f"/part-{part:06d}" if part is not None else "")
-        rows.write.mode("overwrite").parquet(target)
+    def drop_staged_range(self, table, run, number):
+        path = f"{self.staging(table, run)}/{RANGE}={number}"
+        self._files(path).delete(self._path(path), True)
 
     # -- leftovers ------------------------------------------------------------------
     def leftovers(self) -> DataFrame:
