@@ -6,11 +6,12 @@ column expressions; permutations run as
 * an Arrow function over the batch (long domains), or
 * a broadcast join with a permutation table (domains fixed below 100 000).
 
-Nothing here shuffles the data. VAT numbers can also do without Python workers
+Nothing here shuffles the data, except names whose list is a table. VAT numbers can also do without Python workers
 (``Context.native``); the Arrow function is the default, for it is ten times as fast.
 """
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,8 @@ from velario.functions import names as N
 from velario.functions.ff1 import engine, permute_numerals, walk_integers
 from velario.functions.ff1_native import with_permuted_digits
 from velario.key import Key
-from velario.session import ship_package
+from velario.session import saved, ship_package
+from velario.sources.wordlists import ListTable
 
 
 @dataclass
@@ -219,7 +221,7 @@ def _iban(df, ctx, value, tweak, new, error):
 
 # -- first names and surnames ---------------------------------------------------
 def list_table(ctx: Context, word_list, tweak: bytes) -> DataFrame:
-    """``(entry, next, next_title)``: where each list entry goes. List-sized."""
+    """``(entry, next, next_title)``: where each entry of a list in memory goes. List-sized."""
     to = walk_integers(engine(ctx.key.bytes), np.arange(len(word_list)), len(word_list), tweak,
                        ctx.forward)
     rows = [(e, word_list.entries[j], word_list.entries[j].title())
@@ -227,23 +229,59 @@ def list_table(ctx: Context, word_list, tweak: bytes) -> DataFrame:
     return ctx.spark.createDataFrame(rows, "__entry string, __next string, __next_title string")
 
 
+def _place_walk(ctx, domain, tweak):
+    key, forward = ctx.key.bytes, ctx.forward
+
+    @F.pandas_udf(LongType())
+    def walk(x: pd.Series) -> pd.Series:
+        return pd.Series(walk_integers(engine(key), x.to_numpy(np.int64), domain, tweak, forward))
+    return walk.asNondeterministic()
+
+
+def off_list_pairs(values: DataFrame, ctx: Context, entries: DataFrame, tweak: bytes) -> DataFrame:
+    """``(__value, __off)`` of distinct off-list values, for a list that is a table.
+
+    A walk that lands on an entry goes on from there. Which do is told by a join, so
+    each round has a job; a round sees only the landings of the one before.
+    """
+    step = N.off_list_udf(ctx.key.bytes, frozenset(), tweak, ctx.forward)
+    known = entries.select(F.col("entry").alias("__entry"))
+    at, settled = values.select("__value", step(F.col("__value")).alias("__off")), []
+    while True:
+        at = saved(at.join(known, F.upper("__off") == F.col("__entry"), "left").select(
+            "__value", "__off", (F.col("__entry").isNotNull() & N.is_canonical(F.col("__off"))).alias("__entry")), "off_list_walk")
+        settled.append(at.where(~F.col("__entry")).select("__value", "__off"))
+        landed = at.where("__entry")
+        if landed.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        at = landed.select("__value", step(F.col("__off")).alias("__off"))
+
+
 def _listed_name(which):
     def plan(df, ctx, value, tweak, new, error):
         word_list = ctx.lists[which]
         tweak = tweak + b"|" + which.encode()
+        large = isinstance(word_list, ListTable)
+        # a table is joined as Spark sees fit by its size; a list in memory is small
+        moves = word_list.moves(_place_walk(ctx, len(word_list), tweak)) if large else F.broadcast(
+            list_table(ctx, word_list, tweak))
         df = df.withColumn("__name", C.strip(value))
         name = F.col("__name")
-        df = df.join(F.broadcast(list_table(ctx, word_list, tweak)),
-                     F.upper(name) == F.col("__entry"), "left")
+        df = df.join(moves, F.upper(name) == F.col("__entry"), "left")
         df = df.withColumn("__listed", F.when(F.col("__entry").isNull(), False)
                            .otherwise(N.is_canonical(name)))
         reason = (F.when(name == "", "empty").when(F.col("__listed"), None)
                   .otherwise(N.off_list_error(name)))
         df = df.withColumn(error, _strict(ctx, F.when(name.isNotNull(), reason), value, name, F.lit(True)))
-        off_list = N.off_list_udf(ctx.key.bytes, frozenset(word_list.entries), tweak + b"|unita",
-                                  ctx.forward)
-        df = df.withColumn("__off", off_list(
-            F.when(F.col(error).isNull() & ~F.col("__listed"), name)))
+        walking = F.when(F.col(error).isNull() & ~F.col("__listed"), name)
+        if large:
+            values = df.select(walking.alias("__value")).where("__value is not null").distinct()
+            pairs = off_list_pairs(values, ctx, word_list.table, tweak + b"|unita")
+            df = df.withColumn("__walking", walking).join(pairs, F.col("__walking") == F.col("__value"), "left").drop(
+                "__walking", "__value")
+        else:
+            off_list = N.off_list_udf(ctx.key.bytes, frozenset(word_list.entries), tweak + b"|unita", ctx.forward)
+            df = df.withColumn("__off", off_list(walking))
         listed = F.when(F.col("__listed") & F.col(error).isNull(),
                         N.restyle(name, F.col("__next"), F.col("__next_title")))
         return (df.withColumn(new, F.coalesce(listed, F.col("__off")))

@@ -10,6 +10,7 @@ from velario.fixed import (DETECTION_MIN_VALUES, DETECTION_ORDER, DETECTION_SHAR
                            ENCRYPT, KEEP, LIST_TYPES)
 from velario.functions import checksums as C
 from velario.functions import names as N
+from velario.sources.wordlists import WordList
 
 _KELVIN = "\u212a"          # the one character that Unicode turns into an ASCII letter
 
@@ -19,36 +20,68 @@ def text_columns(df: DataFrame):
             if isinstance(f.dataType, (StringType, CharType, VarcharType))]
 
 
+# Up to so many entries a list stands in the plan as literals.
+LITERALS = 1_000
+
+
+def _form(value, ascii_only):
+    """What is looked up in a list. Accented lists need Unicode composition."""
+    return F.translate(N.collapse(value), _KELVIN, "K") if ascii_only else N.normalise(value)
+
+
 def in_list(value, word_list):
-    """Membership after normalisation. Accented lists need Unicode composition."""
-    if all(e.isascii() for e in word_list.entries):
-        form = F.translate(N.collapse(value), _KELVIN, "K")
-    else:
-        form = N.normalise(value)
+    """Membership after normalisation, for a short list."""
+    form = _form(value, all(e.isascii() for e in word_list.entries))
     return F.coalesce(form.isin(word_list.entries), F.lit(False))
 
 
+def is_short(word_list) -> bool:
+    return isinstance(word_list, WordList) and len(word_list) <= LITERALS
+
+
+def with_membership(df: DataFrame, columns: dict, word_list) -> DataFrame:
+    """``df`` with a flag under each key of ``columns``: is the value (a Column) on the list?
+
+    A join for each, in which Spark sends a short list to all executors and puts a
+    Bloom filter before the shuffle of the rows for a long one. Nothing of the list
+    stands in the plan, and each entry is there once, so no row is multiplied.
+    """
+    entries = word_list.frame(df.sparkSession).select("entry")
+    for i, (name, value) in enumerate(columns.items()):
+        found = entries.select(F.col("entry").alias(f"__entry{i}"))
+        df = (df.withColumn(f"__form{i}", _form(value, False)).join(found, F.col(f"__form{i}") == F.col(f"__entry{i}"), "left")
+              .withColumn(name, F.col(f"__entry{i}").isNotNull()).drop(f"__form{i}", f"__entry{i}"))
+    return df
+
+
 def predicates(lists):
-    """Type to test, in order of preference."""
+    """Type to test, in order of preference; without the types whose list is long."""
     tests = {"CF": C.cf_ok, "IBAN": C.iban_ok, "PIVA": C.piva_ok}
     for kind, which in LIST_TYPES.items():
-        tests[kind] = lambda value, which=which: in_list(value, lists[which])
-    return [(kind, tests[kind]) for kind in DETECTION_ORDER]
+        if is_short(lists[which]):
+            tests[kind] = lambda value, which=which: in_list(value, lists[which])
+    return [(kind, tests[kind]) for kind in DETECTION_ORDER if kind in tests]
 
 
 def pass_counts(df: DataFrame, columns, lists) -> DataFrame:
     """``(column, examined, CF, IBAN, PIVA, NOME, COGNOME)`` of all columns in one pass.
 
     A sum per column and type, combined on the map side: no values are shuffled
-    and rows are not multiplied by the number of columns.
+    and rows are not multiplied by the number of columns. Long lists are joined.
     """
     tests = predicates(lists)
     measures, cells = [], []
+    for kind, which in LIST_TYPES.items():
+        if not is_short(lists[which]):
+            names = {c: f"__on_{kind}_{i}" for i, c in enumerate(columns)}
+            df = with_membership(df, {name: C.strip(F.col(c)) for c, name in names.items()}, lists[which])
+            tests.append((kind, names))
     for i, column in enumerate(columns):
         value = C.strip(F.col(column))
         filled = F.col(column).isNotNull() & (value != "")
         measures.append(F.count_if(filled).alias(f"e{i}"))
-        measures += [F.count_if(filled & test(value)).alias(f"e{i}_{kind}") for kind, test in tests]
+        measures += [F.count_if(filled & (F.col(test[column]) if isinstance(test, dict) else test(value))).alias(f"e{i}_{kind}")
+                     for kind, test in tests]
         cells.append(F.struct(F.lit(column).alias("column"), F.col(f"e{i}").alias("examined"),
                               *[F.col(f"e{i}_{kind}").alias(kind) for kind, _ in tests]))
     return df.agg(*measures).select(F.inline(F.array(*cells)))

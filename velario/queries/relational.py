@@ -6,12 +6,13 @@ from velario.operators import detect as D
 from velario.operators import mapping as M
 from velario.operators import preview as V
 from velario.operators import profile as P
-from velario.operators.pseudonymise import Rule, context, encrypt
+from velario.operators.pseudonymise import Rule, context, decrypt, encrypt
 from velario.operators.ranges import next_bound, range_bounds
 from velario.queries.derived import (KEY, TABLES, name_sql, people, table, tax_body_sql, tax_letter_sql, vat,
                                      vat_sql)
 from velario.sources import tables as T
-from velario.sources.wordlists import WordList, default_lists, default_names, default_surnames
+from velario.session import saved
+from velario.sources.wordlists import ListTable, default_lists, default_names, default_surnames
 
 # -- sources --------------------------------------------------------------------
 _CONSTRAINTS = T.Constraints(
@@ -210,12 +211,43 @@ def untreatable_values(spark, sf_dir):
     return V.untreatable(rows, context(spark, KEY), [Rule("piva", "PIVA"), Rule("cf", "CF")])
 
 
+def _spoken(spark, sf_dir):
+    """Every distinct word of all texts, as a list of any size in alphabetical order."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^a-z]+")).alias("entry")).where(F.length("entry") > 3)
+    return ListTable(words.distinct().select("entry", F.col("entry").alias("order")), "spoken")
+
+
 def word_list(spark, sf_dir):
-    """A list made of names of the tables: fingerprint, longest entry, size."""
-    words = [r["c_name"] for r in table(spark, sf_dir, "customer").select("c_name").orderBy("c_custkey").limit(120).collect()]
-    made = WordList(words, "customers")
-    return made.frame(spark).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("entry")).alias("longest")).select(
-        "n", "longest", F.lit(made.longest).alias("longest_known"), F.lit(made.fingerprint).alias("fingerprint"))
+    """A list made of all words of the texts: size, longest entry, fingerprint."""
+    made = _spoken(spark, sf_dir)
+    held = made.frame().agg(F.count(F.lit(1)).alias("n"), F.max(F.length("entry")).alias("longest"), F.max("pos").alias("last"))
+    return held.select("n", "longest", "last", F.lit(made.longest).alias("longest_known"), F.lit(made.fingerprint).alias("fingerprint"))
+
+
+def long_list_roundtrip(spark, sf_dir):
+    """Names on a list of all words of the texts, and some off it, there and back by joins."""
+    lists = {"cognomi": _spoken(spark, sf_dir)}
+    entry = F.col("entry")
+    rows = lists["cognomi"].frame().select("pos", F.when(F.col("pos") % 7 == 0, F.concat(F.initcap(entry), F.lit("zolamira")))
+                                           .when(F.col("pos") % 3 == 0, F.lower(entry)).otherwise(entry).alias("cognome"))
+    rules = [Rule("cognome", "COGNOME")]
+    there = encrypt(rows.withColumn("original", F.col("cognome")), KEY, rules, lists=lists)
+    judged = saved(there, "long_list").select("pos", "cognome", (F.col("pos") % 7 == 0).alias("off_list"), F.when(
+        F.col("pos") % 7 == 0, F.col("cognome") != F.col("original")).alias("changed"))
+    back = decrypt(judged, KEY, rules, lists=lists)
+    distinct = judged.agg(F.count_distinct("cognome").alias("n")).select("n").scalar()
+    return back.withColumn("n_distinct", distinct)
+
+
+def long_list_membership(spark, sf_dir):
+    """Words of part names, told by a join with a list made of a whole column."""
+    brands = table(spark, sf_dir, "part").select(F.explode(F.split("p_type", " ")).alias("entry"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("entry"))
+    entries = names.unionByName(brands).distinct()
+    made = ListTable(entries.select("entry", F.col("entry").alias("order")), "names")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(" customer#"), F.lpad(
+        (F.col("o_custkey") * 2).cast("string"), 9, "0")).alias("name"))
+    return D.with_membership(rows, {"listed": F.col("name")}, made).select("o_orderkey", "listed")
 
 
 _CF = f"({tax_body_sql('c_custkey')} || {tax_letter_sql(tax_body_sql('c_custkey'))})"
@@ -229,7 +261,7 @@ QUERIES = {f.__name__: f for f in (
     list_tables, describe_tables, foreign_keys, column_counts, row_count, first_rows, sample_values, distinct_values,
     distinct_after_key, nullify_column, map_apply, map_apply_range, map_effect, map_equals_inline, ranges, text_ranges,
     following_bound, detect_types, propose_types, list_membership, preview_values, preview_rows, untreatable_values,
-    word_list)}
+    word_list, long_list_roundtrip, long_list_membership)}
 
 
 def _profile_sql(source, columns):
@@ -243,6 +275,11 @@ _ORDERED8 = ("select '{op}' as operation, '{c}' as \"column\", {kind} as kind, {
              "from (select distinct {c} from m where {c} is not null order by {c} limit 8)")
 
 
+# the distinct words of all texts, upper-cased, with their place in order
+_SPOKEN = ("select upper(w) as entry, row_number() over (order by w) - 1 as pos from (select distinct unnest(regexp_extract_all("
+           "text, '[a-z]+')) as w from documents) where len(w) > 3")
+
+
 def _in(words):
     return ", ".join(f"'{e}'" for e in words.entries)
 
@@ -299,7 +336,13 @@ ORACLES = {
     "untreatable_values": f"select 'piva' as \"column\", {_V} || '0' as value, 'not_11_digits' as error from customer "
                           f"where c_custkey % 50 = 0 union select 'cf', substr({_CF}, 1, 15), 'bad_length_or_alphabet' "
                           f"from customer where c_custkey % 40 = 0",
-    "word_list": "select count(*) as n, max(len(c_name)) as longest, max(len(c_name)) as longest_known, "
-                 "substr(sha256(string_agg(upper(c_name), chr(10) order by c_custkey)), 1, 16) as fingerprint "
-                 "from (select * from customer order by c_custkey limit 120)",
+    "word_list": f"with e as ({_SPOKEN}), b as (select pos // 65536 as k, sha256(string_agg(entry, chr(10) order by pos)) as d "
+                 "from e group by 1) select count(*) as n, max(len(entry)) as longest, max(pos) as last, max(len(entry)) as "
+                 "longest_known, (select substr(case when count(*) = 1 then max(d) else sha256(string_agg(d, chr(10) order by k)) end, "
+                 "1, 16) from b) as fingerprint from e",
+    "long_list_roundtrip": f"with e as ({_SPOKEN}) select pos, case when pos % 7 = 0 then substr(entry, 1, 1) || lower(substr(entry, 2)) "
+                           "|| 'zolamira' when pos % 3 = 0 then lower(entry) else entry end as cognome, pos % 7 = 0 as off_list, "
+                           "case when pos % 7 = 0 then true end as changed, (select count(*) from e) as n_distinct from e",
+    "long_list_membership": "select o_orderkey, 'Customer#' || lpad(cast(o_custkey * 2 as varchar), 9, '0') in "
+                            "(select c_name from customer) as listed from orders",
 }
