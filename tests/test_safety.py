@@ -50,7 +50,7 @@ def test_lost_surrogates_stop_the_commit():
 
 
 def test_lists_load_whole_despite_repeats(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(wordlists, "MAX_ENTRIES", 150)
+    monkeypatch.setattr(wordlists, "IN_MEMORY", 150)
     words = [f"name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(140)]
     path = tmp_path / "list.txt"
     path.write_text("\n".join([words[0]] * 120 + ["# note", ""] + words))

@@ -160,7 +160,8 @@ class Runner:
 
     def _treat(self, table, rules, empty, direction, on_bad, run, on_range, left, resumed=False):
         forward, began = direction == ENCRYPT, time.time()
-        df = self.store.read(table)
+        base = self.store.current(table)["version"]
+        df = self.store.read(table, base)
         ctx = context(self.spark, self.key, forward, self.lists)
         skipped, mapped = self._refused(table, with_surrogates(df, ctx, rules), rules, on_bad, run, began)
         wide = with_surrogates(df, ctx, rules, mapped=mapped)
@@ -177,7 +178,7 @@ class Runner:
         for rule in rules:
             # every treatable value must have been replaced, or nothing is committed
             check_effect(counts[f"due_{rule.column}"], counts[f"new_{rule.column}"])
-        self.store.commit(table, run)
+        self.store.commit(table, run, base)
         return self._conclude(table, rules, empty, direction, run, counts, skipped, began)
 
     def _refused(self, table, wide, rules, on_bad, run, began):

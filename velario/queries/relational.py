@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from velario.operators import detect as D
+from velario.operators import keys as K
 from velario.operators import mapping as M
 from velario.operators import preview as V
 from velario.operators import profile as P
@@ -72,6 +73,41 @@ def _columns_sql():
 
 
 # -- counts and samples -----------------------------------------------------------
+_STAR = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+         "customer": ["c_custkey", "c_name", "c_nationkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+         "part": ["p_partkey", "p_name"], "orders": ["o_orderkey", "o_custkey", "o_orderdate"],
+         "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
+
+
+def _star(spark, sf_dir):
+    return K.discover({t: table(spark, sf_dir, t) for t in _STAR}, _STAR)
+
+
+def discovered_keys(spark, sf_dir):
+    """Unique columns of the star schema, found in the values."""
+    return _star(spark, sf_dir)[0]
+
+
+def discovered_foreign_keys(spark, sf_dir):
+    """Columns whose values are all among those of a unique column."""
+    return _star(spark, sf_dir)[1]
+
+
+def _star_sql(held):
+    columns = [(t, c) for t, cs in _STAR.items() for c in cs]
+    one = " union all ".join(f"select '{t}' as \"table\", '{c}' as \"column\", count(*) as n_rows, count({c}) as n_values, "
+                             f"count(distinct {c}) as n_distinct from {t}" for t, c in columns)
+    if not held:
+        return f"select *, n_distinct = n_rows as is_key from ({one})"
+    kinds = {c: "s" if c.endswith("name") else "d" if c.endswith("date") else "n" for _, c in columns}
+    pairs = " union all ".join(
+        f"select '{t1}' as t1, '{c1}' as c1, '{t2}' as t2, '{c2}' as c2, (select count(*) from {t1} where {c1} is not null and "
+        f"{c1} not in (select {c2} from {t2})) as n_lost" for t1, c1 in columns for t2, c2 in columns
+        if (t1, c1) != (t2, c2) and kinds[c1] == kinds[c2])
+    return (f"with k as (select * from ({one}) where n_distinct = n_rows) select t1, c1, t2, c2 from ({pairs}) join k "
+            "on t2 = \"table\" and c2 = \"column\" where n_lost = 0")
+
+
 def column_counts(spark, sf_dir):
     return P.profile(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_returnflag", "l_shipdate"])
 
@@ -261,7 +297,8 @@ QUERIES = {f.__name__: f for f in (
     list_tables, describe_tables, foreign_keys, column_counts, row_count, first_rows, sample_values, distinct_values,
     distinct_after_key, nullify_column, map_apply, map_apply_range, map_effect, map_equals_inline, ranges, text_ranges,
     following_bound, detect_types, propose_types, list_membership, preview_values, preview_rows, untreatable_values,
-    word_list, long_list_roundtrip, long_list_membership)}
+    word_list, long_list_roundtrip, long_list_membership,
+    discovered_keys, discovered_foreign_keys)}
 
 
 def _profile_sql(source, columns):
@@ -336,6 +373,8 @@ ORACLES = {
     "untreatable_values": f"select 'piva' as \"column\", {_V} || '0' as value, 'not_11_digits' as error from customer "
                           f"where c_custkey % 50 = 0 union select 'cf', substr({_CF}, 1, 15), 'bad_length_or_alphabet' "
                           f"from customer where c_custkey % 40 = 0",
+    "discovered_keys": _star_sql(False),
+    "discovered_foreign_keys": _star_sql(True),
     "word_list": f"with e as ({_SPOKEN}), b as (select pos // 65536 as k, sha256(string_agg(entry, chr(10) order by pos)) as d "
                  "from e group by 1) select count(*) as n, max(len(entry)) as longest, max(pos) as last, max(len(entry)) as "
                  "longest_known, (select substr(case when count(*) = 1 then max(d) else sha256(string_agg(d, chr(10) order by k)) end, "

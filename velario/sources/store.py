@@ -1,13 +1,18 @@
 """Table versions, and the small logs that go with them, under one root folder.
 
 A treated table is written as a new version next to the old one and becomes current
-with one appended commit row; nothing is ever changed in place. A run that dies
-before its commit leaves the old version in force, and its files show up as
-leftovers. All logs are append-only and may be read by any session.
+with one commit file, created only if no file of that version is there: of two runs that
+began with one version one commits, the other fails and leaves its files as leftovers.
+Nothing is ever changed in place. A run that dies before its commit leaves the old
+version in force. All logs are append-only and may be read by any session; rows the
+driver knows are written by it, a file for each step, without a job.
 """
 
+import json
 import re
 import uuid
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +45,14 @@ def whole_rows(log: DataFrame, name: str) -> DataFrame:
     return log
 
 
+class ConflictingCommit(RuntimeError):
+    """Another run made a version of the table since this one began."""
+
+
+def _now():
+    return datetime.now(timezone.utc).isoformat()
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -70,8 +83,24 @@ class TableStore:
     def _append(self, name, rows: DataFrame):
         rows.coalesce(1).write.mode("append").json(f"{self.root}/{name}")
 
-    def _append_row(self, name, schema, row):
-        self._append(name, self.spark.createDataFrame([row], schema))
+    def _create(self, path, rows):
+        """Write rows as lines of a new file; False if there is one already."""
+        files, target = self._files(path), self._path(path)
+        if files.exists(target):
+            return False
+        try:
+            out = files.create(target, False)
+        except Exception as error:                      # another writer was faster
+            if "AlreadyExists" in str(error) or "already exists" in str(error):
+                return False
+            raise
+        out.write(bytearray("".join(json.dumps({k: v for k, v in r.items() if v is not None}) + "\n" for r in rows).encode()))
+        out.close()
+        return True
+
+    def _note(self, name, rows):
+        """Append rows that the driver knows."""
+        self._create(f"{self.root}/{name}/note-{uuid.uuid4().hex}.json", rows)
 
     def commits(self):
         return self._log("commits", COMMIT)
@@ -98,10 +127,8 @@ class TableStore:
     def log_operation(self, run, table, column, phase, rows=None, n_distinct=None, skipped=None,
                       seconds=None, error_class=None):
         """Counts, phases and error classes - never a value."""
-        row = self.spark.createDataFrame(
-            [(run, table, column, phase, rows, n_distinct, skipped, seconds, error_class)],
-            OPERATION.rsplit(",", 1)[0]).withColumn("at", F.current_timestamp())
-        self._append("operations", row)
+        self._note("operations", [dict(run=run, table=table, column=column, phase=phase, rows=rows, n_distinct=n_distinct,
+                                       skipped=skipped, seconds=seconds, error_class=error_class, at=_now())])
 
     def progress(self) -> DataFrame:
         """``(table, column, done, total, seconds)`` of runs that write by range."""
@@ -126,16 +153,18 @@ class TableStore:
         """Make existing files the first version of a table; they are only read."""
         self._commit(table, path, fmt, None)
 
-    def _commit(self, table, path, fmt, run):
-        before = self.commits().where(F.col("table") == table).agg(
-            F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
-        row = self.spark.createDataFrame([(table, before + 1, path, fmt, run)],
-                                         COMMIT.rsplit(",", 1)[0])
-        self._append("commits", row.withColumn("committed", F.current_timestamp()))
-
-    def commit(self, table, run):
-        """Make a finished run the current version."""
-        self._commit(table, self.staging(table, run), "parquet", run)
+    def _commit(self, table, path, fmt, run, base=None):
+        entry = self.current(table)
+        version = (entry["version"] if entry else 0) + 1
+        if base is not None and version != base + 1:
+            raise ConflictingCommit(f"{table} has version {version - 1}; this run began with {base}")
+        row = dict(table=table, version=version, path=path, format=fmt, run=run, committed=_now())
+        if not self._create(f"{self.root}/commits/{quote('v-' + table, safe='')}-{version:012d}.json", [row]):
+            raise ConflictingCommit(f"another run committed version {version} of {table}")
+
+    def commit(self, table, run, base=None):
+        """Make a finished run the current version, if that is still ``base``."""
+        self._commit(table, self.staging(table, run), "parquet", run, base)
 
     def current(self, table, version=None):
         rows = self.commits().where(F.col("table") == table)
