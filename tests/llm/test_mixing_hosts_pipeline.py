@@ -82,7 +82,7 @@ def plain_rule(url):
     return host, path, *(max(fits)[1:] if fits else (None, None))
 
 
-def plain_spread(some, steps=host_trust.STEPS, d=host_trust.DAMPING):
+def plain_spread(some, steps=400, d=host_trust.DAMPING):
     hosts, links = {}, {}
     for _, url, html in some:
         host, _, _, verdict = plain_rule(url)
@@ -90,15 +90,22 @@ def plain_spread(some, steps=host_trust.STEPS, d=host_trust.DAMPING):
         n[0] += 1
         n[1] += verdict == "allow"
         n[2] += verdict == "block"
+    crawled = set(hosts)
     for _, url, html in some:
-        for to in re.findall(r"(?i)(?:href|src)\s*=\s*[\"']?[a-z][a-z0-9+.\-]*://([^/?#\"'\s<>]+)", html or ""):
-            a, b = plain_rule(url)[0], to.lower()
-            if a != b and b in hosts:
+        for to in re.findall(r"(?i)(?:href|src)\s*=\s*[\"']?[a-z][a-z0-9+.\-]*(://[^/?#\"'\s<>]+[^\"'\s<>]*)", html or ""):
+            a, (b, _, _, verdict) = plain_rule(url)[0], plain_rule(to)
+            if a != b:
                 links[a, b] = links.get((a, b), 0) + 1
-    for h in hosts:
+                if b not in crawled and verdict:
+                    n = hosts.setdefault(b, [0, 0, 0])
+                    n[1], n[2] = max(n[1], verdict == "allow"), max(n[2], verdict == "block")
+    links = {(a, b): n for (a, b), n in links.items() if b in hosts}
+    for h in list(hosts):
         up = h.partition(".")[2]
-        if up and up in hosts:
+        if h.partition(".")[0] and up.partition(".")[0] and up.partition(".")[2]:
+            hosts.setdefault(up, [0, 0, 0])
             links[h, up] = links.get((h, up), 0) + 1
+            links[up, h] = links.get((up, h), 0) + 1
     out, into = {}, {}
     for (a, b), n in links.items():
         out[a] = out.get(a, 0) + n
@@ -112,7 +119,19 @@ def plain_spread(some, steps=host_trust.STEPS, d=host_trust.DAMPING):
             b[x] += bad[y] * n / into[y]
         trust = {h: (1 - d) * hosts[h][1] + d * t[h] for h in hosts}
         bad = {h: (1 - d) * hosts[h][2] + d * b[h] for h in hosts}
-    return {h: "block" if bad[h] > trust[h] and bad[h] > host_trust.SHARE * n[0] else "allow" for h, n in hosts.items()}
+    return {h: "block" if bad[h] > host_trust.SHARE * (bad[h] + trust[h] + host_trust.PRIOR * n[0]) else "allow" for h, n in hosts.items()}
+
+
+def test_links_turn_verdicts_both_ways(spark):
+    """A host that links to a blocked one is blocked, crawled or not; links from a trusted one save it; siblings share."""
+    some = [(1, "http://lonely.org/a", '<a href="http://bad.net/es/1">'), (2, "http://neutral.org/a", "<p>"),
+            (3, "http://x.evil.org/1", '<a href="http://bad.net/fr/2"> <a href="http://worse.net/es/2">'),
+            (4, "http://y.evil.org/1", None), (5, "http://saved.org/1", '<a href="http://bad.net/es/1">')]
+    some += [(100 + k, f"http://good{k}.com/", '<a href="http://saved.org/">') for k in range(6)]
+    verdict = {r["page_id"]: r["verdict"] for r in host_trust.judge(pages(spark, some)).collect()}
+    hosts = plain_spread(some)
+    assert {i: hosts[plain_rule(u)[0]] for i, u, _ in some if i < 100} == {i: v for i, v in verdict.items() if i < 100}
+    assert [verdict[i] for i in (1, 2, 3, 5)] == ["block", "allow", "block", "allow"]
 
 
 def test_rules_and_spread_verdicts(spark):
