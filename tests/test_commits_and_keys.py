@@ -3,6 +3,7 @@ import pytest
 from velario.operators.keys import discover
 from velario.queries.derived import KEY
 from velario.sources.documents import POLICY_ROWS
+from velario.plans import registry as R
 from velario.plans.runner import Runner
 from velario.sources.store import ConflictingCommit, TableStore
 
@@ -43,3 +44,25 @@ def test_keys_are_found_in_the_values(spark):
     assert {tuple(r) for r in links.collect()} == {("b", "a_id", "a", "id"), ("b", "a_id", "b", "id")}
     counts = {(r["table"], r["column"]): (r["n_rows"], r["n_values"], r["n_distinct"]) for r in columns.collect()}
     assert counts["a", "other"] == (3, 2, 1) and counts["c", "at"] == (0, 0, 0) and ("d", "x") not in counts
+
+
+def test_a_whole_table_run_tells_how_far_it_is(spark, tmp_path, monkeypatch):
+    spark.range(0, 4000, 1, 60).selectExpr("id", "lpad(cast(id as string), 10, '0') as piva").write.parquet(f"{tmp_path}/t")
+    store = TableStore(spark, f"{tmp_path}/store")
+    store.register("t", f"{tmp_path}/t")
+    policy = spark.createDataFrame([("t", "id", "mantieni", None, None), ("t", "piva", "cifra", "PIVA", None)], POLICY_ROWS)
+    runner = Runner(store, policy, KEY, "db")
+    runner.look, seen = 0.02, []
+    note = store.log_progress
+    store.log_progress = lambda run, table, done, total: (seen.append(done), note(run, table, done, total))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    monkeypatch.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    try:
+        with pytest.raises(RuntimeError, match="lost"):
+            runner.run("cifra", on_bad="skip")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(seen) >= 2 and seen == sorted(set(seen)) and 0 < seen[0] < 4000
+    row = R.status(store.registry(), store.progress(), "db").first()
+    assert (row["table"], row["column"], row["state"]) == ("t", "piva", "in_corso")
+    assert 0 < row["percent"] <= 100 and row["seconds_left"] is not None

@@ -13,6 +13,7 @@ from velario.operators.pseudonymise import Rule, context, replace_columns, with_
 from velario.operators.ranges import numbered
 from velario.plans import policy as P
 from velario.plans import registry as R
+from velario.plans.progress import Watched
 from velario.session import saved
 from velario.sources.store import FLAG, RANGE, TableStore
 from velario.sources.tables import Constraints, describe
@@ -20,6 +21,8 @@ from velario.sources.wordlists import default_lists
 
 # Rows per value from which a column is treated by its distinct values.
 REPEATS = 20
+# Seconds between two looks at the tasks of a running write.
+LOOK = 10.0
 REPORT = ("operation string, table string, column string, kind string, rows_updated bigint, "
           "n_untreatable bigint")
 
@@ -51,7 +54,7 @@ class Runner:
         self.store, self.policy, self.key, self.database = store, policy, key, database
         self.constraints = constraints or Constraints()
         self.lists = {**default_lists(), **(lists or {})}
-        self.rows_per_range = rows_per_range
+        self.rows_per_range, self.look = rows_per_range, LOOK
         self.spark = store.spark
 
     # -- checks -------------------------------------------------------------------
@@ -229,7 +232,13 @@ class Runner:
         seen = Observation()
         measures = [F.count_if(test).alias(name) for name, test in self._flags(rules, empty).items()]
         counted = wide.observe(seen, F.count(F.lit(1)).alias("rows"), *measures)
-        self.store.write(table, run, self._final(counted, df.columns, df, rules, empty))
+        total = df.count()                                    # the files' footers tell
+
+        def tell(share):
+            self.store.log_progress(run, table, int(share * total), total)
+
+        with Watched(self.spark, f"{run} {table}", tell, self.look):
+            self.store.write(table, run, self._final(counted, df.columns, df, rules, empty))
         return seen.get
 
     # -- ranges ---------------------------------------------------------------------

@@ -25,6 +25,7 @@ RANGE_DONE = ("run string, table string, number bigint, upto string, rows bigint
               "counts map<string, bigint>, at timestamp")
 OPERATION = ("run string, table string, column string, phase string, rows bigint, n_distinct bigint, "
              "skipped bigint, seconds double, error_class string, at timestamp")
+PROGRESS = "run string, table string, done bigint, total bigint, at timestamp"
 _STAGED = re.compile(r"^run-[0-9a-f]{12}$")
 # Columns of staged files that tell what was done to a row; no reader of the table sees them.
 FLAG = "__flag_"
@@ -130,16 +131,24 @@ class TableStore:
         self._note("operations", [dict(run=run, table=table, column=column, phase=phase, rows=rows, n_distinct=n_distinct,
                                        skipped=skipped, seconds=seconds, error_class=error_class, at=_now())])
 
+    def log_progress(self, run, table, done, total):
+        """Rows done so far, as told by the tasks that have ended."""
+        self._note("progress", [dict(run=run, table=table, done=done, total=total, at=_now())])
+
     def progress(self) -> DataFrame:
-        """``(table, column, done, total, seconds)`` of runs that write by range."""
+        """``(table, column, done, total, seconds)`` of runs, by their ranges or, where a
+        table is written at once, by the tasks that have ended."""
         done = self.ranges_done().groupBy("run", "table").agg(
             F.sum("rows").alias("done"), F.max("at").alias("__at"))
         total = self.range_plan().groupBy("run", "table").agg(F.sum("n_rows").alias("total"))
+        by_range = total.join(done, ["run", "table"], "left").select(
+            "run", "table", F.coalesce("done", F.lit(0)).alias("done"), "total", "__at")
+        by_task = self._log("progress", PROGRESS).groupBy("run", "table").agg(
+            F.max("done").alias("done"), F.max("total").alias("total"), F.max("at").alias("__at"))
         started = self._log("registry", ENTRY).groupBy("run", "table", "column").agg(
             F.min("updated").alias("__since"))
-        return (started.join(total, ["run", "table"]).join(done, ["run", "table"], "left").select(
-            "table", "column", F.coalesce("done", F.lit(0)).alias("done"), "total",
-            (F.col("__at").cast("double") - F.col("__since").cast("double")).alias("seconds")))
+        return started.join(by_range.unionByName(by_task), ["run", "table"]).select(
+            "table", "column", "done", "total", (F.col("__at").cast("double") - F.col("__since").cast("double")).alias("seconds"))
 
     # -- versions -----------------------------------------------------------------
     @staticmethod
