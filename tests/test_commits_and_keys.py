@@ -66,3 +66,18 @@ def test_a_whole_table_run_tells_how_far_it_is(spark, tmp_path, monkeypatch):
     row = R.status(store.registry(), store.progress(), "db").first()
     assert (row["table"], row["column"], row["state"]) == ("t", "piva", "in_corso")
     assert 0 < row["percent"] <= 100 and row["seconds_left"] is not None
+
+
+def test_recover_tells_by_the_rows_touched(spark, tmp_path, monkeypatch):
+    spark.range(5).selectExpr("id", "cast(null as string) as piva", "lpad(cast(id as string), 11, '0') as other").write.parquet(f"{tmp_path}/t")
+    store = TableStore(spark, f"{tmp_path}/store")
+    store.register("t", f"{tmp_path}/t")
+    policy = spark.createDataFrame([("t", "id", "mantieni", None, None), ("t", "piva", "cifra", "PIVA", None),
+                                    ("t", "other", "cifra", "PIVA", None)], POLICY_ROWS)
+    runner = Runner(store, policy, KEY, "db")
+    monkeypatch.setattr(runner, "_conclude", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        runner.run("cifra")
+    told = {r["column"]: (r["state"], r["rows"]) for r in runner.recover().collect()}
+    assert told == {"piva": ("in_chiaro", 0), "other": ("cifrata", 5)}
+    assert store.read("t").columns == ["id", "piva", "other"]

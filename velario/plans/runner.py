@@ -230,15 +230,16 @@ class Runner:
 
     def _write(self, table, run, wide, df, rules, empty):
         seen = Observation()
-        measures = [F.count_if(test).alias(name) for name, test in self._flags(rules, empty).items()]
-        counted = wide.observe(seen, F.count(F.lit(1)).alias("rows"), *measures)
+        flags = {f"{FLAG}{name}": test for name, test in self._flags(rules, empty).items()}
+        measures = [F.count_if(test).alias(flag.removeprefix(FLAG)) for flag, test in flags.items()]
+        counted = wide.observe(seen, F.count(F.lit(1)).alias("rows"), *measures).withColumns(flags)
         total = df.count()                                    # the files' footers tell
 
         def tell(share):
             self.store.log_progress(run, table, int(share * total), total)
 
         with Watched(self.spark, f"{run} {table}", tell, self.look):
-            self.store.write(table, run, self._final(counted, df.columns, df, rules, empty))
+            self.store.write(table, run, self._final(counted, [*df.columns, *flags], df, rules, empty))
         return seen.get
 
     # -- ranges ---------------------------------------------------------------------
@@ -273,7 +274,7 @@ class Runner:
     def _write_ranges(self, table, run, wide, df, rules, empty, places, on_range):
         """All ranges that are not there yet, in one job; what the files hold goes on record."""
         began, key = time.time(), self.constraints.single_key(table)
-        flags = {f"{FLAG}{i}": (name, test) for i, (name, test) in enumerate(self._flags(rules, empty).items())}
+        flags = {f"{FLAG}{name}": (name, test) for name, test in self._flags(rules, empty).items()}
         done = self._of_run(self.store.ranges_done(), run, table).select("number")
         left = self._of_run(self.store.range_plan(), run, table).join(done, "number", "left_anti").select(
             F.col("number").alias(RANGE), "upto", "n_rows")
@@ -339,7 +340,7 @@ class Runner:
     def recover(self) -> DataFrame:
         """Conclude interrupted columns whose fate the commit log tells; returns them.
 
-        A committed run did finish. An uncommitted one that did not write by range
+        A committed run did finish; whether it touched a row its files tell. An uncommitted one that did not write by range
         changed nothing, so the column keeps the state it had before. Runs by range
         are left for ``resume``.
         """
@@ -356,10 +357,13 @@ class Runner:
         fate = (F.when(F.col("__done"), finished)
                 .when(F.col("__planned").isNull(), F.coalesce("__before", F.lit(CLEAR))))
         told = open_entries.join(planned, "run", "left").withColumn("__fate", fate).where(
-            F.col("__fate").isNotNull()).select("database", "table", "column",
-                                                F.col("__fate").alias("state"), "rows")
-        rows = told.toLocalIterator()
-        told = self.spark.createDataFrame([tuple(r) for r in rows], told.schema)
+            F.col("__fate").isNotNull()).select("database", "table", "column", F.col("__fate").alias("state"), "rows", "run")
+        names = ["database", "table", "column", "state", "rows"]
+        rows = []
+        for r in told.toLocalIterator():                       # as many as columns were open
+            n = self.store.touched(r["table"], r["run"], f"new_{r['column']}") if r["state"] == ENCRYPTED else None
+            rows.append((*[r[c] for c in names[:3]], CLEAR if n == 0 else r["state"], r["rows"] if n is None else n))
+        told = self.spark.createDataFrame(rows, told.select(*names).schema)
         if not told.isEmpty():
             self.store.append_registry(R.conclude(log, told))
         return told

@@ -214,6 +214,14 @@ class TableStore:
             return None
         return self.spark.read.parquet(path).withColumn(RANGE, F.col(RANGE).cast("bigint"))
 
+    def touched(self, table, run, name):
+        """Rows that a run's files mark with a flag, or None where they have no such flag."""
+        path = self.staging(table, run)
+        if not self._exists(path):
+            return None
+        found = self.spark.read.option("recursiveFileLookup", "true").parquet(path)
+        return found.where(F.col(f"`{FLAG}{name}`")).count() if FLAG + name in found.columns else None
+
     def drop_staged_range(self, table, run, number):
         path = f"{self.staging(table, run)}/{RANGE}={number}"
         self._files(path).delete(self._path(path), True)
