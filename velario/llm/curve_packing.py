@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from velario.llm.shared import column_bytes, ready, rows_of, saved, small, texts
-from velario.llm.word_encoder import encoder
+from velario.llm.shared import ready, rows_of, saved, small, texts
+from velario.llm.word_encoder import encoder, with_ids
 
 LENGTH = 2048
 SLOTS = 1024
@@ -81,9 +81,9 @@ def _encoded(docs, tokenizer, end_id) -> DataFrame:
     def run(batches):
         coder = encoder(tokenizer)
         end = np.array([end_id], coder.dtype).tobytes()
-        for batch in small(batches):
-            ids = [piece + end for piece in coder.encode_many(column_bytes(batch, "text"))]
-            keys = hilbert(places([np.frombuffer(i, coder.dtype) for i in ids])) if ids else np.empty(0, np.int64)
+        for batch, found in with_ids(batches, "text", coder):
+            ids = [piece + end for piece in found]
+            keys = hilbert(places([np.frombuffer(i, coder.dtype) for i in ids]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())],
                                              names=["doc_id", "place", "ids"])
 

@@ -11,6 +11,8 @@ from velario.session import ship_package
 # Documents that a Python worker treats at once. Spark bounds the bytes of an Arrow
 # batch; this bounds what is made of them.
 BATCH_ROWS = 256
+# Documents encoded at once: the more, the fewer look-ups of words.
+ENCODED_ROWS = 2048
 
 
 def ready(spark: SparkSession) -> str:
@@ -24,11 +26,11 @@ def ready(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def small(batches):
-    """Arrow batches in slices of at most ``BATCH_ROWS`` rows."""
+def small(batches, rows=BATCH_ROWS):
+    """Arrow batches in slices of at most ``rows`` rows."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(at, BATCH_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:

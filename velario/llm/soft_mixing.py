@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velario.llm.shared import column_bytes, ready, saved, small
-from velario.llm.word_encoder import encoder
+from velario.llm.word_encoder import encoder, with_ids
 
 _LOG = logging.getLogger(__name__)
 
@@ -131,10 +131,8 @@ def _encoded(labelled, tokenizer) -> DataFrame:
     """``(domain, ids)``: ids as bytes."""
     def run(batches):
         coder = encoder(tokenizer)
-        for batch in small(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("domain"), pa.array(coder.encode_many(column_bytes(batch, "text")), pa.binary())],
-                names=["domain", "ids"])
+        for batch, ids in with_ids(batches, "text", coder):
+            yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(ids, pa.binary())], names=["domain", "ids"])
 
     return labelled.select("domain", "text").mapInArrow(run, "domain string, ids binary")
 
@@ -224,8 +222,8 @@ def memberships(docs: DataFrame, model: Classifier, tokenizer="word_bpe_49k.json
 
     def run(batches):
         coder, model = encoder(tokenizer), shared.value
-        for batch in small(batches):
-            ids = [np.frombuffer(i, coder.dtype) for i in coder.encode_many(column_bytes(batch, "__text"))]
+        for batch, found in with_ids(batches, "__text", coder):
+            ids = [np.frombuffer(i, coder.dtype) for i in found]
             p = model.posteriors(ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in columns]

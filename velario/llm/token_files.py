@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velario.llm.shared import column_bytes, ready, rows_of, small, texts
-from velario.llm.word_encoder import encoder
+from velario.llm.shared import ready, rows_of, texts
+from velario.llm.word_encoder import encoder, with_ids
 
 MAGIC = b"VTOK1"
 HEAD = 64
@@ -141,9 +141,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer="word_bpe_49k.json", end_
         coder, task = encoder(tokenizer), TaskContext.get().partitionId()
         end, width = np.array([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
         ids, pieces, size, shard = [], [], 0, 0
-        for batch in small(batches):
-            doc_ids = batch.column("doc_id").to_pylist()
-            for doc_id, piece in zip(doc_ids, coder.encode_many(column_bytes(batch, "text"))):
+        for batch, found in with_ids(batches, "text", coder):
+            for doc_id, piece in zip(batch.column("doc_id").to_pylist(), found):
                 ids.append(doc_id)
                 pieces.append(piece + end)
                 size += len(piece) // width + 1

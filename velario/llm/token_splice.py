@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velario.llm.shared import column_bytes, ready, rows_of, saved, small, texts
+from velario.llm.shared import ENCODED_ROWS, column_bytes, ready, rows_of, saved, small, texts
 from velario.llm.word_encoder import encoder
 
 CHUNK_CHARS = 1 << 15
@@ -43,7 +43,7 @@ def _first_cut(docs, tokenizer, chunk, overlap):
     def run(batches):
         coder = encoder(tokenizer)
         key = TaskContext.get().partitionId() << 40
-        for batch in small(batches):
+        for batch in small(batches, ENCODED_ROWS):
             out = {f.name: [] for f in schema}
             data = column_bytes(batch, "text")
             # fewer bytes than the limit: surely not more characters

@@ -13,11 +13,19 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from velario.llm.shared import BATCH_ROWS, ENCODED_ROWS, column_bytes, small
 
 # Entries remembered by one Python worker (about 160 bytes each): forms as they
-# stand in the texts, and their lower-case letters, which cost more to find anew.
-CACHE_WORDS = 500_000
+# stand in the texts (as many again of the generation before), and their lower-case
+# letters, which cost more to find anew.
+CACHE_WORDS = 250_000
 CACHE_STEMS = 1_000_000
+# Texts of at most so many bytes in all (or a single one) are encoded together: of
+# each distinct word among them the ids are looked up once.
+GROUP_BYTES = 8 << 20
 # a run of these is one piece; the apostrophe starts pieces of its own
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -46,16 +54,36 @@ def encoder(name: str) -> "Encoder":
     return Encoder(tokenizer_path(name))
 
 
+def with_ids(batches, column: str, coder: "Encoder"):
+    """Small slices of Arrow batches with the ids of their texts, encoded for many slices at once."""
+    for batch in small(batches, ENCODED_ROWS):
+        ids = coder.encode_many(column_bytes(batch, column))
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS), ids[at:at + BATCH_ROWS]
+
+
 class _Forms(dict):
-    """The ids of words, found when a word is met for the first time."""
+    """The ids of words, found when a word is met for the first time.
+
+    Words in use outlive a full cache: it becomes the generation before, whose words
+    come over when they are met again.
+    """
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.before = find, {}
 
     def __missing__(self, word):
-        ids = self[word] = self.find(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.find(word)
+        self[word] = ids
         return ids
 
+    def shrink(self, limit):
+        if len(self) > limit:
+            self.before = dict(self)
+            self.clear()
+
 
 def _byte_letters() -> dict:
     """The letter by which byte-level models know each byte: its own where it can be
@@ -92,14 +120,30 @@ class Encoder:
         if not self.wordwise:
             found = self.library.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)
             return [self._pack(e.ids) for e in found]
-        known, out = self.words.__getitem__, []
+        out, group, size = [], [], 0
         for text in batch:
-            if len(self.words) > self.limits[0]:
-                self.words.clear()
-            if len(self.stems) > self.limits[1]:
-                self.stems.clear()
-            out.append(b"".join(map(known, text.split())))
-        return out
+            if group and size + len(text) > GROUP_BYTES:
+                out += self._encode_group(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        return out + self._encode_group(group) if group else out
+
+    def _encode_group(self, group) -> list:
+        self.words.shrink(self.limits[0])
+        if len(self.stems) > self.limits[1]:
+            self.stems.clear()
+        words = pc.ascii_split_whitespace(pa.array(group, pa.large_binary()).cast(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = pa.array(list(map(self.words.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        if not len(found):
+            return [b""] * len(group)
+        # the ids of all words stand one after another; a text has those between its first and last word
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8)
+        at = ends[words.offsets.to_numpy()].tolist()
+        ids = memoryview(found.buffers()[2] or b"")
+        return [bytes(ids[start:end]) for start, end in zip(at, at[1:])]
 
     def count_many(self, batch) -> list:
         return [len(ids) // self.dtype.itemsize for ids in self.encode_many(batch)]
