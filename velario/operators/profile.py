@@ -1,5 +1,7 @@
 """Counting, sampling and emptying columns."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,26 +12,38 @@ def existing(df: DataFrame, columns):
 
 
 def profile(df: DataFrame, columns=None, approximate=False) -> DataFrame:
-    """``(column, n_rows, n_values, n_distinct)`` for each column, in one pass.
+    """``(column, n_rows, n_values, n_distinct)`` for each column.
 
     Without ``columns`` only rows are counted: ``(None, n_rows, None, None)``.
-    Exact distinct counts expand each row once per column before a partial
-    aggregation; ``approximate`` needs no shuffle of values at all.
+    Exact distinct counts group each column by itself, which reads that column alone
+    and shuffles each task's distinct values with their numbers of rows; one pass for
+    all columns would shuffle rows as wide as all of them. ``df`` should be a stored
+    table, or be saved before. ``approximate`` is one pass without a shuffle of values.
     """
     if not columns:
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(None).cast("string").alias("column"), "n_rows",
             F.lit(None).cast("bigint").alias("n_values"), F.lit(None).cast("bigint").alias("n_distinct"))
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    if not approximate:
+        return reduce(DataFrame.unionByName, [_exact(df, c) for c in columns])
     # Positions rather than names in the aliases: a column may be called anything.
     measures = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(columns):
-        measures += [F.count(F.col(c)).alias(f"v{i}"), distinct(F.col(c)).alias(f"d{i}")]
+        measures += [F.count(F.col(c)).alias(f"v{i}"), F.approx_count_distinct(F.col(c)).alias(f"d{i}")]
     cells = [F.struct(F.lit(c).alias("column"), F.col("n_rows"), F.col(f"v{i}").alias("n_values"),
                       F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(columns)]
     return df.agg(*measures).select(F.inline(F.array(*cells)))
 
 
+def _exact(df, column) -> DataFrame:
+    """One column's counts, from the number of rows that hold each value."""
+    each = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("bigint")
+    return each.agg(F.coalesce(F.sum("n"), none).alias("n_rows"),
+                    F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), none).alias("n_values"),
+                    F.count("value").alias("n_distinct")).select(F.lit(column).alias("column"), "*")
+
+
 def first_rows(df: DataFrame, columns, n=30, order_by=None) -> DataFrame:
     """The first rows, only the columns asked for; unknown columns are ignored.
 

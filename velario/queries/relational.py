@@ -228,7 +228,7 @@ def list_membership(spark, sf_dir):
 
 def preview_values(spark, sf_dir):
     rows = _mixed(spark, sf_dir)
-    found = V.preview_values(rows, context(spark, KEY), [Rule("codes", "CF"), Rule("numbers", "PIVA")], ["half"], ordered=True)
+    found = V.preview_values(rows, context(spark, KEY), [Rule("codes", "CF"), Rule("numbers", "PIVA")], ["half"])
     return found.select("operation", "column", "kind", "tweak", "n_rows", "n_distinct", "before", "error",
                         (F.col("after") != F.col("before")).alias("changes"))
 
