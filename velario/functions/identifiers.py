@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from velario.fixed import (DATE_DOMAIN, DIGITS, LETTERS, LIST_TYPES, MONTH_LETTERS, PLACE_DOMAIN)
+from velario.fixed import (DATE_DOMAIN, DIGITS, LETTERS, LIST_TYPES, MONTH_LETTERS, PLACE_DOMAIN, TYPES)
 from velario.functions import checksums as C
 from velario.functions import names as N
 from velario.functions.ff1 import engine, permute_numerals, walk_integers
@@ -143,7 +143,7 @@ def _permuted(df, ctx, index: Column, domain, tweak, name):
             .drop("__index", "__x"))
 
 
-def _strict(ctx, error: Column, value: Column, canonical: Column, valid: Column) -> Column:
+def strict_error(ctx, error: Column, value: Column, canonical: Column, valid: Column) -> Column:
     if not ctx.strict:
         return error
     return F.coalesce(error, F.when(value != canonical, "non_canonical").when(~valid, "bad_checksum"))
@@ -162,7 +162,7 @@ def tax_code_error(code: Column) -> Column:
 def _tax_code(df, ctx, value, tweak, new, error):
     df = df.withColumn("__upper", F.upper(C.strip(value)))
     upper = F.col("__upper")
-    df = df.withColumn(error, _strict(ctx, tax_code_error(upper), value, upper, C.cf_ok(upper)))
+    df = df.withColumn(error, strict_error(ctx, tax_code_error(upper), value, upper, C.cf_ok(upper)))
     df = df.withColumn("__code", F.when(F.col(error).isNull(), upper)).drop("__upper")
     code = F.col("__code")
     day = F.substring(code, 10, 2).cast("int")
@@ -196,7 +196,7 @@ def _vat_number(df, ctx, value, tweak, new, error):
     number = F.col("__number")
     reason = F.when(~number.rlike("^[0-9]{11}$"), "not_11_digits")
     permute = class_permutation(ctx.key.bytes, [(DIGITS, tweak)], ctx.forward)
-    df = df.withColumn(error, _strict(ctx, reason, value, number, C.piva_ok(number)))
+    df = df.withColumn(error, strict_error(ctx, reason, value, number, C.piva_ok(number)))
     body = F.when(F.col(error).isNull(), F.substring(number, 1, 10))
     if ctx.native:
         df = with_permuted_digits(df, ctx.key.bytes, body, 10, tweak, ctx.forward, "__body")
@@ -212,7 +212,7 @@ def _iban(df, ctx, value, tweak, new, error):
     reason = F.when(~code.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Z]{11,}$"), "bad_iban_format")
     permute = class_permutation(
         ctx.key.bytes, [(DIGITS, tweak + b"|0"), (LETTERS, tweak + b"|A")], ctx.forward)
-    df = df.withColumn(error, _strict(ctx, reason, value, code, C.iban_ok(code)))
+    df = df.withColumn(error, strict_error(ctx, reason, value, code, C.iban_ok(code)))
     df = df.withColumn("__country", F.when(F.col(error).isNull(), F.substring(code, 1, 2)))
     df = df.withColumn("__bban", permute(F.when(F.col(error).isNull(), F.substring(code, 5, 1 << 30))))
     return (df.withColumn(new, F.concat("__country", C.iban_check("__country", "__bban"), "__bban"))
@@ -272,7 +272,7 @@ def _listed_name(which):
                            .otherwise(N.is_canonical(name)))
         reason = (F.when(name == "", "empty").when(F.col("__listed"), None)
                   .otherwise(N.off_list_error(name)))
-        df = df.withColumn(error, _strict(ctx, F.when(name.isNotNull(), reason), value, name, F.lit(True)))
+        df = df.withColumn(error, strict_error(ctx, F.when(name.isNotNull(), reason), value, name, F.lit(True)))
         walking = F.when(F.col(error).isNull() & ~F.col("__listed"), name)
         if large:
             values = df.select(walking.alias("__value")).where("__value is not null").distinct()
@@ -298,6 +298,32 @@ PLANS = {
 }
 
 
+@dataclass(frozen=True)
+class IdentifierType:
+    """A type of one's own: ``plan(df, ctx, value, tweak, new, error)`` adds surrogate and
+    refusal, ``valid(value)`` tells values of the type, for detection."""
+
+    name: str
+    plan: object
+    valid: object
+
+
+ADDED = {}
+
+
+def register(kind: IdentifierType) -> None:
+    """Add a type: rules, detection and policy checks know it from then on."""
+    if kind.name in TYPES:
+        raise ValueError(f"{kind.name} is a built-in type")
+    ADDED[kind.name], PLANS[kind.name] = kind, kind.plan
+
+
+def forget(name: str) -> None:
+    """Take an added type away."""
+    if ADDED.pop(name, None):
+        del PLANS[name]
+
+
 def transform(df: DataFrame, ctx: Context, value: Column, kind: str, tweak: str, new: str,
               error: str) -> DataFrame:
     """Add ``new`` (surrogate or NULL) and ``error`` (reason or NULL) to every row.

@@ -10,6 +10,7 @@ from velario.fixed import (DETECTION_MIN_VALUES, DETECTION_ORDER, DETECTION_SHAR
                            ENCRYPT, KEEP, LIST_TYPES)
 from velario.functions import checksums as C
 from velario.functions import names as N
+from velario.functions.identifiers import ADDED
 from velario.sources.wordlists import WordList
 
 _KELVIN = "\u212a"          # the one character that Unicode turns into an ASCII letter
@@ -60,11 +61,11 @@ def predicates(lists):
     for kind, which in LIST_TYPES.items():
         if is_short(lists[which]):
             tests[kind] = lambda value, which=which: in_list(value, lists[which])
-    return [(kind, tests[kind]) for kind in DETECTION_ORDER if kind in tests]
+    return [(kind, tests[kind]) for kind in DETECTION_ORDER if kind in tests] + [(t.name, t.valid) for t in ADDED.values()]
 
 
 def pass_counts(df: DataFrame, columns, lists) -> DataFrame:
-    """``(column, examined, CF, IBAN, PIVA, NOME, COGNOME)`` of all columns in one pass.
+    """``(column, examined, CF, IBAN, PIVA, NOME, COGNOME)``, and added types, of all columns in one pass.
 
     A sum per column and type, combined on the map side: no values are shuffled
     and rows are not multiplied by the number of columns. Long lists are joined.
@@ -91,7 +92,7 @@ def decide(counts: DataFrame) -> DataFrame:
     """``(column, kind, passing, examined)``; kind is NULL where nothing is proposed."""
     # largest count first, and on a tie the type tested first
     ranked = [F.struct(F.col(kind).alias("passing"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind"))
-              for i, kind in enumerate(DETECTION_ORDER)]
+              for i, kind in enumerate((*DETECTION_ORDER, *ADDED)) if kind in counts.columns]
     best = F.greatest(*ranked)
     enough = F.col("examined") >= DETECTION_MIN_VALUES
     return counts.select(

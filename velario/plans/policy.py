@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velario.fixed import ENCRYPT, ERROR, KEEP, LIST_TYPES, NULLIFY, STRATEGIES, TYPES, WARNING
+from velario.functions.identifiers import ADDED
 from velario.functions.checksums import strip
 
 _AT = ["table", "column"]
@@ -69,9 +70,9 @@ def incoherent_rules(policy, schema):
     known = F.coalesce(strategy.isin(*STRATEGIES), F.lit(False))
     rule = (F.when(~known, F.struct(F.lit("unknown_strategy").alias("rule"), F.concat(
                 F.lit("unknown strategy "), F.coalesce(strategy, F.lit("(none)"))).alias("message")))
-            .when((strategy == ENCRYPT) & ~F.coalesce(kind.isin(*TYPES), F.lit(False)), F.struct(
+            .when((strategy == ENCRYPT) & ~F.coalesce(kind.isin(*TYPES, *ADDED), F.lit(False)), F.struct(
                 F.lit("no_valid_type").alias("rule"),
-                F.lit(f"'{ENCRYPT}' without a valid type ({', '.join(TYPES)})").alias("message")))
+                F.lit(f"'{ENCRYPT}' without a valid type ({', '.join((*TYPES, *ADDED))})").alias("message")))
             .when((strategy == NULLIFY) & ~F.coalesce("nullable", F.lit(True)), F.struct(
                 F.lit("nullify_required").alias("rule"),
                 F.lit(f"'{NULLIFY}' on a column that must not be null").alias("message"))))
@@ -106,7 +107,7 @@ def foreign_key_conflicts(policy, foreign_keys):
 
 def ambiguous_tweaks(policy):
     """One tweak used for several types: usually columns that only share a name."""
-    kind = F.when(F.col("kind").isin(*TYPES), F.col("kind")).otherwise("(none)")
+    kind = F.when(F.col("kind").isin(*TYPES, *ADDED), F.col("kind")).otherwise("(none)")
     used = policy.where(F.col("strategy") == ENCRYPT).groupBy(effective_tweak().alias("tweak")).agg(
         # at most one entry per type, whatever the number of columns
         F.array_sort(F.collect_set(kind)).alias("kinds"))

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from velario.functions import checksums as C
+from velario.functions.cards import add_cards
+from velario.functions.identifiers import forget
 from velario.operators.alphabet import decrypt_text, encrypt_text
 from velario.operators.pseudonymise import Rule, decrypt, encrypt
 from velario.queries.derived import (KEY, accounts, iban_sql, name_sql, people, table, tax_body_sql, tax_letter_sql,
@@ -154,6 +156,17 @@ def luhn_cards(spark, sf_dir):
                         C.luhn_check(digits.substr(F.lit(1), F.length(digits) - 1)).alias("digit"))
 
 
+def card_roundtrip(spark, sf_dir):
+    """Card numbers of all orders, of a type that was added: Luhn-valid surrogates, and back."""
+    add_cards()
+    body = F.lpad(F.col("o_orderkey").cast("string"), 15, "4")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(body, C.luhn_check(body)).alias("card"))
+    try:
+        return _round_trip(rows, "o_orderkey", "card", "CARD", C.luhn_ok)
+    finally:
+        forget("CARD")          # other queries of the session see the built-in types only
+
+
 _LUHN = r"""
 with t as (select doc_id, unnest(regexp_extract_all(text, '[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}')) as token
            from documents),
@@ -176,9 +189,14 @@ QUERIES = {
     "all_rules_roundtrip": all_rules_roundtrip, "vat_native_roundtrip": vat_native_roundtrip,
     "distinct_preserved": distinct_preserved, "vat_join_revenue": vat_join_revenue,
     "alphabet_roundtrip": alphabet_roundtrip, "checksum_flags": checksum_flags, "iban_flags": iban_flags,
-    "luhn_cards": luhn_cards,
+    "luhn_cards": luhn_cards, "card_roundtrip": card_roundtrip,
 }
 
+_CARDS = """
+with b as (select o_orderkey, lpad(cast(o_orderkey as varchar), 15, '4') as body from orders),
+s as (select *, list_sum(list_transform(range(1, 16), lambda i: case when i % 2 = 1 then
+    (2 * cast(body[i] as int)) // 10 + (2 * cast(body[i] as int)) % 10 else cast(body[i] as int) end)) as total from b)
+select o_orderkey, body || cast((10 - total % 10) % 10 as varchar) as value, true as changed, true as valid from s"""
 _CF = f"({tax_body_sql('c_custkey')} || {tax_letter_sql(tax_body_sql('c_custkey'))})"
 _V = vat_sql("c_custkey")
 _SPOILED = _VAT_SPOILED.format(v=_V)
@@ -214,4 +232,5 @@ ORACLES = {
     "iban_flags": f"select s_suppkey, substr({iban_sql('s_suppkey')}, 3, 2) as digits, true as dotted_valid, "
                   f"false as swapped_valid from supplier",
     "luhn_cards": _LUHN,
+    "card_roundtrip": _CARDS,
 }
