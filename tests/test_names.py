@@ -112,3 +112,24 @@ def test_native_digits_equal_the_arrow_function(spark):
     plan = native._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan and KEY.bytes.hex() not in plan.lower()
     assert decrypt(native, KEY, [Rule("piva", "PIVA")], native=True).exceptAll(rows).isEmpty()
+
+
+@pytest.mark.parametrize("n", [3, 9, 10, 13])
+def test_native_rounds_of_short_halves_come_from_a_table(spark, n):
+    from velario.functions import ff1_native as V
+    from velario.functions.ff1 import permute_numerals
+    rows = spark.range(60).select("id", F.when(F.col("id") % 20 > 0, F.lpad(
+        (F.col("id") * 7_777_777_777_777 % 10 ** n).cast("string"), n, "0")).alias("plain")).collect()
+    df = spark.createDataFrame(rows, "id long, plain string")
+    there = V.with_permuted_digits(df, KEY.bytes, F.col("plain"), n, b"t", True, "there")
+    back = V.with_permuted_digits(there, KEY.bytes, F.col("there"), n, b"t", False, "back")
+    plan = spark._jvm.PythonSQLUtils.explainString(back._jdf.queryExecution(), "formatted").split("== Subqueries ==")[0]
+    assert ("aesEncrypt" in plan) == (n > 10)                            # no block for each row where halves are short
+    found = back.orderBy("id").collect()
+    given = [r["plain"] for r in rows if r["plain"]]
+    kernel = permute_numerals(FF1, np.array([[int(c) for c in v] for v in given], np.int64), 10, b"t", True)
+    assert [r["there"] for r in found if r["plain"]] == ["".join(map(str, v)) for v in kernel]
+    assert [(r["there"] is None, r["back"]) for r in found] == [(r["plain"] is None, r["plain"]) for r in rows]
+    from velario.functions.identifiers import forget_tables
+    forget_tables()
+    assert not V._TABLES and there.orderBy("id").collect() == [r[:3] for r in found]

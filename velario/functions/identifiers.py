@@ -7,7 +7,7 @@ column expressions; permutations run as
 * a broadcast join with a permutation table (domains fixed below 100 000).
 
 Nothing here shuffles the data, except names whose list is a table. VAT numbers can also do without Python workers
-(``Context.native``); the Arrow function is the default, for it is ten times as fast.
+(``Context.native``); the Arrow function is the default, for it is faster.
 """
 
 from dataclasses import dataclass, field
@@ -24,7 +24,7 @@ from velario.fixed import (DATE_DOMAIN, DIGITS, LETTERS, LIST_TYPES, MONTH_LETTE
 from velario.functions import checksums as C
 from velario.functions import names as N
 from velario.functions.ff1 import engine, permute_numerals, walk_integers
-from velario.functions.ff1_native import with_permuted_digits
+from velario.functions.ff1_native import forget_rounds, with_permuted_digits
 from velario.key import Key
 from velario.session import saved, ship_package
 from velario.sources.wordlists import ListTable
@@ -39,7 +39,7 @@ class Context:
     forward: bool = True
     lists: dict = field(default_factory=dict)
     strict: bool = False
-    native: bool = False          # digits without Python workers, at a tenth of the speed
+    native: bool = False          # digits without Python workers, at a lower speed
 
     def __post_init__(self):
         ship_package(self.spark)
@@ -131,6 +131,7 @@ def permutation_table(ctx: Context, domain: int, tweak: bytes) -> DataFrame:
 
 def forget_tables() -> None:
     """Drop the permutation tables from memory, when a key is no longer needed."""
+    forget_rounds()
     while _TABLES:
         _TABLES.popitem()[1].unpersist()
 
