@@ -18,6 +18,20 @@ def value_map(df: DataFrame, ctx: Context, column: str, kind: str, tweak: str) -
         "old", "new", "error", "n")
 
 
+def _looked_up(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` with the row of ``pairs`` whose ``__key`` is ``__old``, if any; both columns go.
+
+    A row with NULL looks nothing up. By ``__old`` alone all such rows would be sorted in
+    one task, so they are dealt by what else they hold.
+    """
+    held = [f.name for f in rows.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    dealt = rows.withColumn("__deal", F.when(F.col("__old").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in held])).otherwise(0))
+    # zero without a literal: Spark would take a literal out of the join's keys
+    keyed = pairs.withColumn("__zero", F.xxhash64("__key").bitwiseAND(0))
+    found = (F.col("__old") == F.col("__key")) & (F.col("__deal") == F.col("__zero"))
+    return dealt.join(keyed, found, "left").drop("__old", "__key", "__deal", "__zero")
+
+
 def with_mapped(df: DataFrame, ctx: Context, column: str, kind: str, tweak: str, new: str, error: str) -> DataFrame:
     """Add ``new`` and ``error`` like ``transform``, computed once per distinct value.
 
@@ -26,8 +40,8 @@ def with_mapped(df: DataFrame, ctx: Context, column: str, kind: str, tweak: str,
     many rows share.
     """
     pairs = value_map(df, ctx, column, kind, tweak).select(
-        F.col("old").alias("__old"), F.col("new").alias(new), F.col("error").alias(error))
-    return df.join(pairs, F.col(column) == F.col("__old"), "left").drop("__old")
+        F.col("old").alias("__key"), F.col("new").alias(new), F.col("error").alias(error))
+    return _looked_up(df.withColumn("__old", F.col(column)), pairs)
 
 
 def _check_types(df, column, pairs):
@@ -52,14 +66,14 @@ def apply_map(df: DataFrame, column: str, pairs: DataFrame, key=None, after=None
 
     ``pairs`` holds each ``old`` once. With ``key`` only rows in ``(after, upto]``
     change. One equi-join: Spark chooses by bytes whether to broadcast the map, and
-    splits skewed values.
+    splits skewed values; rows that do not change are dealt evenly.
     """
     _check_types(df, column, pairs)
     inside = _in_range(df, key, after, upto) if key is not None else F.lit(True)
     wanted = df.withColumn("__old", F.when(inside, F.col(column)))
     columns = [F.coalesce("__new", F.col(c)).alias(c) if c == column else F.col(c) for c in df.columns]
     mapped = pairs.select(F.col("old").alias("__key"), F.col("new").alias("__new"))
-    return wanted.join(mapped, F.col("__old") == F.col("__key"), "left").select(columns)
+    return _looked_up(wanted, mapped).select(columns)
 
 
 def effect(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
