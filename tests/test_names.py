@@ -133,3 +133,36 @@ def test_native_rounds_of_short_halves_come_from_a_table(spark, n):
     from velario.functions.identifiers import forget_tables
     forget_tables()
     assert not V._TABLES and there.orderBy("id").collect() == [r[:3] for r in found]
+
+
+def test_walks_of_long_names_share_rounds_batches_and_tasks(spark, monkeypatch):
+    from velario.functions import identifiers as I
+    rng = random.Random(8)
+    digits = np.array([n for n in range(2, 29) for _ in range(4)])
+    x = np.array([rng.randrange(10 ** int(n)) for n in digits], object)
+    for forward in (True, False):                                         # more than 18 digits too
+        single = np.concatenate([step_digits(FF1, x[digits == n], n, b"t", forward) for n in range(2, 29)])
+        assert (FF1.permute_mixed(x, digits, b"t", forward) == single).all()
+
+    words = sorted({"".join(rng.choice("bcdfgl") + rng.choice("aeio") for _ in range(3)) for _ in range(300)})
+    lists = {"cognomi": ListTable(spark.createDataFrame([*enumerate(words), (999, words[0])], "order int, entry string"), "w")}
+    names = [w.title() + tail for w in words[:40] for tail in ("zolamira", "zolamiratrecosta", "zolamirabelvenidoratrecostalumi")]
+    rows = spark.createDataFrame([*enumerate([*names, names[0], None])], "id int, cognome string").coalesce(1)
+    rules, tasks, saved = [Rule("cognome", "COGNOME")], [], I.saved
+
+    def watched(df, name):
+        tasks.append(df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").count("REPARTITION_BY_NUM"))
+        return saved(df, name)
+    monkeypatch.setattr(I, "saved", watched)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        monkeypatch.setattr(N, "_TOGETHER", 20)
+        there = encrypt(rows, KEY, rules, lists=lists).orderBy("id").collect()
+        plain = rows.select("id", N.off_list_udf(KEY.bytes, frozenset(), b"cognome|cognomi|unita", True)("cognome").alias("cognome"))
+        assert plain.orderBy("id").collect() == there                     # no surrogate is an entry here
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert tasks[0] > 0                                                   # not as few tasks as bytes ask for
+    assert [r["cognome"] for r in there] == N.walk_off_list(FF1, names, frozenset(), b"cognome|cognomi|unita", True) + [
+        there[0]["cognome"], None]

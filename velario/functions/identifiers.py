@@ -243,10 +243,12 @@ def off_list_pairs(values: DataFrame, ctx: Context, entries: DataFrame, tweak: b
     """``(__value, __off)`` of distinct off-list values, for a list that is a table.
 
     A walk that lands on an entry goes on from there. Which do is told by a join, so
-    each round has a job; a round sees only the landings of the one before.
+    each round has a job; a round sees only the landings of the one before. Values are
+    few bytes and long work, so they are dealt to all cores, whatever their bytes.
     """
     step = N.off_list_udf(ctx.key.bytes, frozenset(), tweak, ctx.forward)
     known = entries.select(F.col("entry").alias("__entry"))
+    values = values.repartition(2 * ctx.spark.sparkContext.defaultParallelism, "__value")
     at, settled = values.select("__value", step(F.col("__value")).alias("__off")), []
     while True:
         at = saved(at.join(known, F.upper("__off") == F.col("__entry"), "left").select(

@@ -11,6 +11,7 @@ is held against the shape it must have, without a look at single values.
 """
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql.types import StringType
 from velario.fixed import (CONSONANTS, DIGRAPHS, LIQUID_CLUSTERS, LIQUIDS, MIN_DOMAIN, NASALS,
                            STOPS, VOWELS)
 from velario.functions.checksums import strip
-from velario.functions.ff1 import engine, step_digits
+from velario.functions.ff1 import MIXED, engine, step_digits
 
 # Pieces by type in index order. Reading prefers the types as listed here.
 PIECES = {
@@ -152,6 +153,7 @@ def normalise(value: Column) -> Column:
 
 # -- inside tasks -------------------------------------------------------------
 _CELLS = 1 << 21             # letters of the values that walk together
+_TOGETHER = 100_000          # rows of the batches that walk together
 
 
 def is_entry(value, entries):
@@ -233,10 +235,12 @@ class _Words:
 
 
 def _steps(ff1, x, digits, tweak, forward):
-    if x.dtype != object:
+    short = digits <= MIXED
+    if short.all():
         return ff1.permute_mixed(x, digits, tweak, forward)
     out = np.empty_like(x)
-    for n in np.unique(digits):
+    out[short] = ff1.permute_mixed(x[short], digits[short], tweak, forward)
+    for n in np.unique(digits[~short]):
         some = digits == n
         out[some] = step_digits(ff1, x[some], int(n), tweak, forward)
     return out
@@ -286,13 +290,28 @@ def walk_off_list(ff1, values, entries, tweak, forward, limit=100_000):
 
 
 def off_list_udf(key: bytes, entries: frozenset, tweak: bytes, forward: bool):
-    """Arrow function: stripped off-list values to surrogates, NULL to NULL."""
-    @F.pandas_udf(StringType())
-    def off_list(values: pd.Series) -> pd.Series:
-        codes, distinct = pd.factorize(values)
-        if not len(distinct):
-            return pd.Series([None] * len(values), dtype=object)
+    """Arrow function: stripped off-list values to surrogates, NULL to NULL.
+
+    The last few values of a walk take as many rounds as all, so batches walk together.
+    """
+    def walked(batches):
+        codes, distinct = pd.factorize(pd.concat(batches, ignore_index=True))
         found = walk_off_list(engine(key), list(distinct), entries, tweak, forward)
-        return pd.Series(np.array(found + [None], dtype=object)[codes])
+        whole, at = np.array(found + [None], dtype=object)[codes], 0
+        for batch in batches:
+            yield pd.Series(whole[at:at + len(batch)], dtype=object)
+            at += len(batch)
+
+    @F.pandas_udf(StringType())
+    def off_list(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held, n = [], 0
+        for values in series:
+            held.append(values)
+            n += len(values)
+            if n >= _TOGETHER:
+                yield from walked(held)
+                held, n = [], 0
+        if held:
+            yield from walked(held)
     # see identifiers.class_permutation
     return off_list.asNondeterministic()

@@ -65,6 +65,8 @@ class ListTable:
         """``rows(entry, order)``: lines, and what puts them in order (unique)."""
         from velario.functions.names import normalise
         self.spark, self.name = rows.sparkSession, name
+        # written as they come: else the optimizer normalises every line before what makes them distinct
+        rows = saved(rows.select("entry", "order"), "list_lines")
         clean = rows.select(normalise(F.col("entry").cast("string")).alias("entry"), "order").where("entry <> ''")
         first = saved(clean.groupBy("entry").agg(F.min("order").alias("order")), "list_entries")
         places = numbered(first.select("order"), "order")
