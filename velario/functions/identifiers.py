@@ -270,21 +270,26 @@ def _listed_name(which):
             list_table(ctx, word_list, tweak))
         df = df.withColumn("__name", C.strip(value))
         name = F.col("__name")
-        df = df.join(moves, F.upper(name) == F.col("__entry"), "left")
-        df = df.withColumn("__listed", F.when(F.col("__entry").isNull(), False)
-                           .otherwise(N.is_canonical(name)))
-        reason = (F.when(name == "", "empty").when(F.col("__listed"), None)
-                  .otherwise(N.off_list_error(name)))
-        df = df.withColumn(error, strict_error(ctx, F.when(name.isNotNull(), reason), value, name, F.lit(True)))
+
+        def told(entries):
+            """The rows with their entries, whether they are listed, and why they are refused."""
+            found = df.join(entries, F.upper(name) == F.col("__entry"), "left")
+            found = found.withColumn("__listed", F.when(F.col("__entry").isNull(), False)
+                                     .otherwise(N.is_canonical(name)))
+            reason = (F.when(name == "", "empty").when(F.col("__listed"), None)
+                      .otherwise(N.off_list_error(name)))
+            return found.withColumn(error, strict_error(ctx, F.when(name.isNotNull(), reason), value, name, F.lit(True)))
         walking = F.when(F.col(error).isNull() & ~F.col("__listed"), name)
         if large:
-            values = df.select(walking.alias("__value")).where("__value is not null").distinct()
+            # which values are off the list is told by its entries, without a walk of all places
+            entries = word_list.table.select(F.col("entry").alias("__entry"))
+            values = told(entries).select(walking.alias("__value")).where("__value is not null").distinct()
             pairs = off_list_pairs(values, ctx, word_list.table, tweak + b"|unita")
-            df = df.withColumn("__walking", walking).join(pairs, F.col("__walking") == F.col("__value"), "left").drop(
+            df = told(moves).withColumn("__walking", walking).join(pairs, F.col("__walking") == F.col("__value"), "left").drop(
                 "__walking", "__value")
         else:
             off_list = N.off_list_udf(ctx.key.bytes, frozenset(word_list.entries), tweak + b"|unita", ctx.forward)
-            df = df.withColumn("__off", off_list(walking))
+            df = told(moves).withColumn("__off", off_list(walking))
         listed = F.when(F.col("__listed") & F.col(error).isNull(),
                         N.restyle(name, F.col("__next"), F.col("__next_title")))
         return (df.withColumn(new, F.coalesce(listed, F.col("__off")))
